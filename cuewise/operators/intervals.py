@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def cells(low: Column, high: Column, width: float) -> Column:
@@ -111,6 +114,15 @@ def pad_interval(start: Column, end: Column, duration: Column, lead: float = 0.6
     return F.greatest(F.lit(0.0), start - lead), F.least(duration, end + tail)
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _running_totals(lengths: pd.Series) -> pd.Series:
+    """Cumulative sums of one row's token lengths, from 0. Only these integers leave the JVM.
+
+    A fold over the array would copy its state once per token; exploding the words would shuffle all of them.
+    """
+    return lengths.map(lambda sizes: np.concatenate(([0], np.cumsum(sizes))).astype("int32"))
+
+
 # ---- words inside one segment ------------------------------------------------------------------------------------
 def word_times(rows: DataFrame, text: str, start: str, end: str) -> DataFrame:
     """One row per white-space token of the text, timed in proportion to token length."""
@@ -118,9 +130,7 @@ def word_times(rows: DataFrame, text: str, start: str, end: str) -> DataFrame:
 
     listed = rows.withColumn("_tokens", white_tokens(F.col(text)))
     lengths = F.transform(F.col("_tokens"), lambda token: F.length(token))
-    # running totals of the lengths, folded inside the row so that no shuffle is needed
-    running = F.aggregate(
-        lengths, F.array(F.lit(0)), lambda totals, size: F.array_append(totals, F.element_at(totals, -1) + size))
+    running = _running_totals(lengths)
     timed = listed.withColumn("_totals", running).where(F.size("_tokens") > 0)
     span = F.col(end) - F.col(start)
     total = F.element_at("_totals", -1)
