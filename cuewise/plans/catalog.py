@@ -1,6 +1,6 @@
 """All registered queries; importing the query modules fills the registry."""
 
-from cuewise.plans import queries_text, queries_time  # noqa: F401
+from cuewise.plans import queries_ranking, queries_reports, queries_text, queries_time  # noqa: F401
 from cuewise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
