@@ -11,7 +11,7 @@ def scan(spark: SparkSession, path: str, condition: str | None = None, columns:
     frame = spark.read.parquet(path)
     if condition:
         frame = frame.where(condition)
-    return frame.select(*columns) if columns else frame
+    return frame.selectExpr(*columns) if columns else frame
 
 
 def decode_list(value: Column) -> Column:
