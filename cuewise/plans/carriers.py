@@ -126,12 +126,16 @@ FROM (SELECT *, 2.0*floor(event_id/20.0) AS t FROM events) q"""
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat rows squeezed towards the start of every minute, so that bursts exist."""
+    return messages_of(table(spark, sf_dir, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
     t = 2.0 * F.floor(F.col("event_id") / 20.0)
     inside = t - 60.0 * F.floor(t / 60.0)
     kind = F.col("event_type")
     text = (F.when(kind == "purchase", "haha!!").when(kind == "signup", "omg").when(kind == "click", "lol")
             .when(kind == "error", "!cmd").when(F.col("event_id") % 3 == 0, "is this ok?").otherwise("ok"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string")).alias("video_id"),
         (60.0 * F.floor(t / 60.0) + inside * inside / 60.0).cast("double").alias("seconds"),
         F.col("user_id").cast("string").alias("author"), "event_id", text.alias("message"))

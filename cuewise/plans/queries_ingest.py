@@ -29,6 +29,10 @@ def chat_time_parse(spark, sf_dir):
 
 
 def _json_items(spark, sf_dir) -> DataFrame:
+    return _json_items_of(carriers.table(spark, sf_dir, "events"))
+
+
+def _json_items_of(events: DataFrame) -> DataFrame:
     """JSON messages in several shapes: flat, nested author, fragments, no text, boolean time."""
     i, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
     flat = F.to_json(F.struct((i % 5000).alias("seconds"), user.alias("author"), F.concat(kind, F.lit("  now")).alias("message")))
@@ -36,7 +40,7 @@ def _json_items(spark, sf_dir) -> DataFrame:
     empty = F.to_json(F.struct(F.lit("0:10").alias("time"), F.lit("").alias("text")))
     wrong = F.to_json(F.struct(F.lit(True).alias("seconds"), F.lit("x").alias("text")))
     line = F.when(i % 4 == 0, flat).when(i % 4 == 1, nested).when(i % 4 == 2, empty).otherwise(wrong)
-    return carriers.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("src"), (i % 20).cast("string")).alias("video_id"), line.alias("line"))
+    return events.select("event_id", F.concat(F.lit("src"), (i % 20).cast("string")).alias("video_id"), line.alias("line"))
 
 
 _NORMAL = """SELECT event_id, 'src' || CAST(event_id % 20 AS VARCHAR) AS video_id, CASE event_id % 4 WHEN 0 THEN (event_id % 5000)::DOUBLE ELSE event_id % 5000 + 0.25::DOUBLE END AS seconds, CAST(user_id AS VARCHAR) AS author,
@@ -59,7 +63,7 @@ def _chat_texts(spark, sf_dir) -> DataFrame:
     row = F.when(suffix == "csv", F.concat(seconds, F.lit(";"), kind, F.lit(";"), user)).when(suffix == "txt", F.concat(clock, F.lit(" "), user, F.lit(": "), kind)).otherwise(as_json)
     # a file holds 50 rows
     grouped = carriers.table(spark, sf_dir, "events").groupBy(file_no.alias("file_no"), suffix.alias("_suffix")).agg(F.array_sort(F.collect_list(F.struct("event_id", row.alias("row")))).alias("rows"))
-    joined = F.array_join(F.transform("rows", lambda r: r["row"]), F.lit("\n"))
+    joined = F.array_join(F.transform("rows", lambda r: r["row"]), "\n")
     listed = F.concat(F.lit('{"comments":['), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]}"))
     text = F.when(F.col("_suffix") == "json", listed).when(F.col("_suffix") == "csv", F.concat(F.lit("time;message;user\n"), joined)).otherwise(joined)
     return grouped.select(F.concat(F.lit("file"), F.col("file_no").cast("string")).alias("video_id"), "_suffix", text.alias("text"))
