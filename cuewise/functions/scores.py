@@ -240,7 +240,7 @@ def max_repeats(words: Column, span: int = 3) -> Column:
         streak = F.when(gram == state["gram"], state["streak"] + 1).otherwise(F.lit(1))
         return F.struct(gram.alias("gram"), streak.alias("streak"), F.greatest(state["best"], streak).alias("best"))
 
-    return F.aggregate(F.array_sort(grams), start, step, lambda state: state["best"])
+    return F.aggregate(F.sort_array(grams), start, step, lambda state: state["best"])
 
 
 def long_pauses(words: Column, seconds: float = 0.9) -> Column:

@@ -6,21 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.text import clip, half_even
+from cuewise.operators.ordering import exact_quantiles
 
 WINDOW_SECONDS = 0.25
 
 
 def energy_percentiles(windows: DataFrame, columns: list[str], shares: list[float], key: str = "video_id") -> DataFrame:
-    """Exact interpolated percentiles per recording, as ``<column>_p<share>``.
-
-    Values are counted per distinct value first, so a percentile works on distinct values with weights instead of on
-    all windows of a long recording.
-    """
+    """Exact interpolated percentiles per recording, as ``<column>_p<share>``."""
     result = None
     for column in columns:
-        counts = windows.groupBy(key, column).agg(F.count("*").alias("_n"))
-        part = counts.groupBy(key).agg(F.percentile(column, F.array(*[F.lit(s) for s in shares]), F.col("_n")).alias("_p"))
-        part = part.select(key, *[F.get("_p", F.lit(i)).alias(f"{column}_p{round(share * 100)}") for i, share in enumerate(shares)])
+        part = exact_quantiles(windows, [key], column, shares, [f"{column}_p{round(share * 100)}" for share in shares])
         result = part if result is None else result.join(part, key)
     return result
 
@@ -83,7 +78,7 @@ def voice_delivery_scores(segments: DataFrame, windows: DataFrame, tempo: DataFr
     sizes = windows.groupBy("video_id").agg((F.max("idx") + 1).alias("_length"))
     framed = segments.select("video_id", "id", "start_seconds", "end_seconds").join(sizes, "video_id").withColumn("_left", F.greatest(F.lit(0), _window_index(F.col("start_seconds"))))
     last = F.least(F.col("_length"), F.greatest(F.col("_left") + 1, F.ceil(F.col("end_seconds") / WINDOW_SECONDS)))
-    section = segment_windows(framed, windows, F.col("_left"), last).join(F.broadcast(floors), "video_id")
+    section = segment_windows(framed, windows, F.col("_left"), last).join(floors, "video_id")
     voiced = F.col("energy") >= F.col("_floor")
     level, tone = F.when(voiced, F.log1p("energy")), F.when(voiced, F.col("tone"))
     measured = section.groupBy("video_id", "id").agg(

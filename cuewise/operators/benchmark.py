@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.operators.ordering import ordered_index
+from cuewise.operators.ordering import exact_quantiles, ordered_index
 
 SCHEMA_VERSION = 1
 # --- fixed values: gate limits, allowed codes, feature ranges and private field names
@@ -52,12 +52,18 @@ def top_records(records: DataFrame, limit: int) -> DataFrame:
 
 def summary(records: DataFrame) -> DataFrame:
     accepted, rejected, score = _accepted(), F.col("decision") == "rejected", _score()
-    return records.agg(
+    # medians by rank over the distinct scores, one small job per decision
+    halves = [exact_quantiles(records.where(F.col("decision") == decision).select(F.lit(0).alias("_all"), score.alias("_score")), ["_all"], "_score", [0.5], [f"{decision}_score_median"])
+              for decision in ("accepted", "rejected")]
+    counted = records.agg(
         F.count("*").alias("reviewed"), F.count(F.when(accepted, 1)).alias("accepted"), F.count(F.when(rejected, 1)).alias("rejected"),
         F.count_distinct("group_id").alias("source_groups"), F.avg(accepted.cast("double")).alias("approval_rate"),
-        F.avg(F.when(accepted, score)).alias("accepted_score_mean"), F.median(F.when(accepted, score)).alias("accepted_score_median"),
-        F.avg(F.when(rejected, score)).alias("rejected_score_mean"), F.median(F.when(rejected, score)).alias("rejected_score_median"),
-        F.avg((score >= 95).cast("double")).alias("score_95_plus_rate"), F.avg((score == 99).cast("double")).alias("score_99_rate"))
+        F.avg(F.when(accepted, score)).alias("accepted_score_mean"),
+        F.avg(F.when(rejected, score)).alias("rejected_score_mean"),
+        F.avg((score >= 95).cast("double")).alias("score_95_plus_rate"), F.avg((score == 99).cast("double")).alias("score_99_rate"), F.lit(0).alias("_all"))
+    for half in halves:
+        counted = counted.join(half, "_all", "left")
+    return counted.drop("_all")
 
 
 def precision_recall(records: DataFrame, limits: tuple[int, ...] = (5, 10, 20)) -> DataFrame:

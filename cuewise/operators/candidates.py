@@ -74,7 +74,7 @@ def _reached(jumps: DataFrame, chunk: int) -> DataFrame:
             while at < len(group):
                 seen.append(positions[at])
                 at = following[at] - base
-        return pd.DataFrame({"video_id": [group["video_id"].iloc[0]] * len(seen), "position": np.array(seen, dtype="int64")})
+        return group.loc[group["position"].isin(seen), ["video_id", "position"]]
 
     largest = jumps.agg(F.max("position")).first()[0] or 0
     if largest < chunk:
@@ -114,9 +114,9 @@ def pack_candidates(parts: DataFrame, order: str, chunk: int = 50_000) -> DataFr
 
 def fixed_windows(durations: DataFrame, seconds: int = int(MAX_SECONDS)) -> DataFrame:
     """Windows of the maximum length for recordings without speech."""
-    starts = F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("duration_seconds").cast("int") - 1), F.lit(seconds)), lambda s: s < F.floor(F.col("duration_seconds"))))
-    return durations.select("video_id", starts.cast("double").alias("start_seconds"), "duration_seconds").select(
-        "video_id", "start_seconds", F.least(F.col("start_seconds") + seconds, F.col("duration_seconds")).alias("end_seconds"))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("duration_seconds").cast("int") - 1), F.lit(seconds)), lambda s: s < F.floor(F.col("duration_seconds")))
+    exploded = durations.select("video_id", F.explode(starts).alias("_start"), "duration_seconds")
+    return exploded.select("video_id", F.col("_start").cast("double").alias("start_seconds"), F.least(F.col("_start") + F.lit(float(seconds)), F.col("duration_seconds")).alias("end_seconds"))
 
 
 def sentence_bounds(candidates: DataFrame, parts: DataFrame, order: str, durations: DataFrame | None = None,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cuewise.functions.text import blank_null, match_form, token_jaccard
 from cuewise.operators.intervals import range_join
+from cuewise.operators.ordering import keyed_index
 from cuewise.session import cut_lineage
 
 # --- fixed values: matching limits
@@ -192,9 +193,9 @@ def activate_run(current: DataFrame, retired: DataFrame, records: DataFrame, run
 
 def revision_history(events: DataFrame) -> DataFrame:
     """Number the revisions of every segment and mark the newest one as current."""
-    in_order = Window.partitionBy("segment_id").orderBy("created_at", "event_id")
-    return events.withColumn("revision_number", F.row_number().over(in_order)).withColumn(
-        "is_current", F.lead("event_id").over(in_order).isNull())
+    numbered = keyed_index(events, ["segment_id"], [F.col("created_at"), F.col("event_id")], out="revision_number")
+    newest = numbered.groupBy("segment_id").agg(F.max("revision_number").alias("_newest"))
+    return numbered.join(newest, "segment_id").withColumn("is_current", F.col("revision_number") == F.col("_newest")).drop("_newest")
 
 
 def next_run_sequence(requests: DataFrame, runs: DataFrame) -> DataFrame:

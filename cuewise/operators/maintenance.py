@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.tags import canonical_tags
-from cuewise.operators.ordering import ordered_index
+from cuewise.operators.ordering import keyed_index, ordered_index
 
 
 def recent_plus_active(rows: DataFrame, key: str, active: Column, limit: int = 10) -> DataFrame:
@@ -18,8 +18,7 @@ def recent_plus_active(rows: DataFrame, key: str, active: Column, limit: int = 1
     recent = rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= limit).drop("_rank")
     running = rows.where(active)
     both = recent.unionByName(running).dropDuplicates([key, "id"])
-    place = Window.partitionBy(key).orderBy(F.when(active, 0).otherwise(1), F.col("created_at").desc(), F.col("id").desc())
-    return both.withColumn("place", F.row_number().over(place))
+    return keyed_index(both, [key], [F.when(active, 0).otherwise(1), F.col("created_at").desc(), F.col("id").desc()], out="place")
 
 
 def retention_plan(files: DataFrame, oldest: float, budget: int) -> DataFrame:

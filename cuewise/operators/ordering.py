@@ -72,6 +72,45 @@ def ordered_index(frame: DataFrame, order: Sequence[Column], running: dict[str,
     return result.drop(*helpers)
 
 
+def keyed_index(frame: DataFrame, keys: Sequence[str], order: Sequence[Column], running: dict[str, Column] | None = None,
+                out: str = "position") -> DataFrame:
+    """Rank (from 1) and running sums inside every key, also when one key holds a large part of all rows.
+
+    The frame is range-sorted by key and order, which splits a large key over several tasks, and materialised once.
+    Ranks are local to a key's part in one task and shifted by the parts before it. Only keys that cross a task border
+    need a shift, at most one per border, so the shifts are fewer than the tasks and safe to broadcast.
+    """
+    running = {out: F.lit(1)} | (running or {})
+    placed = cut_lineage(frame.orderBy(*keys, *order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    totals = placed.groupBy(*keys, "_part").agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in running.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*keys, "_part", *[F.sum(f"_sum_{name}").over(earlier).alias(f"_before_{name}") for name in running])
+    shifts = shifts.where(F.col(f"_before_{out}").isNotNull())
+    inside = Window.partitionBy(*keys, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(shifts), [*keys, "_part"], "left")
+    return joined.withColumns({
+        name: (F.coalesce(F.col(f"_before_{name}"), F.lit(0)) + F.sum(value).over(inside)).cast("bigint") for name, value in running.items()
+    }).drop("_place", "_part", *[f"_before_{name}" for name in running])
+
+
+def exact_quantiles(values: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Interpolated quantiles per key. Equal values are counted first; ranks come from ``keyed_index``, so no task needs
+    all values of a key."""
+    present = values.where(F.col(column).isNotNull())
+    counts = present.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    ranked = keyed_index(counts, keys, [F.col(column)], {"_upto": F.col("_n")})
+    totals = present.groupBy(*keys).agg(F.count("*").alias("_total"))
+    joined = ranked.join(totals, list(keys))
+    aggregates = []
+    for i, share in enumerate(shares):
+        place = (F.col("_total") - 1) * share
+        aggregates += [F.min(F.when(F.col("_upto") > F.floor(place), F.col(column))).alias(f"_low{i}"),
+                       F.min(F.when(F.col("_upto") > F.ceil(place), F.col(column))).alias(f"_high{i}"), F.first(place - F.floor(place)).alias(f"_rest{i}")]
+    found = joined.groupBy(*keys).agg(*aggregates)
+    return found.select(*keys, *[(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_rest{i}")).alias(name) for i, name in enumerate(names)])
+
+
 def best_per_key(frame: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of every key in the given order.
 

@@ -9,8 +9,8 @@ from cuewise.functions import scores
 from cuewise.functions import vocab as V
 from cuewise.functions.tags import canonical_tag, canonical_tags, profanity_count
 from cuewise.functions.text import clip, half_even, has_any, known, points
-from cuewise.functions.vectors import dot
-from cuewise.operators.similarity import mean_top, mean_top_similarity
+from cuewise.operators.similarity import matrix_of, mean_top_similarity, top_means
+from cuewise.session import cut_lineage
 
 FEATURES = (
     "quality", "audio", "game_reaction", "voice_expression", "visual", "chat", "chat_joy", "logical_sense", "context",
@@ -25,14 +25,10 @@ def recent_feedback(feedback: DataFrame, profile: str, limit: int = FEEDBACK_ROW
 
 
 def feedback_summary(recent: DataFrame) -> DataFrame:
-    """One row describing at most 240 decisions: vectors, counts, centroids and tag counts."""
+    """One row describing at most 240 decisions: counts, centroids and tags."""
     accepted, rejected = F.col("decision") == "accepted", F.col("decision") == "rejected"
-    named = F.when(rejected & (F.coalesce("review_reason", F.lit("")) != ""), F.struct("review_reason", "embedding"))
     return recent.agg(
         F.count(F.when(accepted, 1)).alias("n_accepted"), F.count(F.when(rejected, 1)).alias("n_rejected"),
-        F.collect_list(F.when(accepted, F.col("embedding"))).alias("accepted_vectors"),
-        F.collect_list(F.when(rejected, F.col("embedding"))).alias("rejected_vectors"),
-        F.collect_list(named).alias("reason_vectors"), F.collect_set(named["review_reason"]).alias("reasons"),
         F.flatten(F.collect_list(F.when(accepted, canonical_tags(F.col("tags"))))).alias("accepted_tags"),
         F.flatten(F.collect_list(F.when(rejected, canonical_tags(F.col("tags"))))).alias("rejected_tags"),
         F.struct(*[F.avg(F.when(accepted, F.coalesce(f"features.{name}", F.lit(0.5)))).alias(name) for name in FEATURES]).alias("accepted_centroid"),
@@ -72,19 +68,21 @@ def with_feedback(candidates: DataFrame, feedback: DataFrame | None, profile: st
         return candidates.withColumns({
             "_n_accepted": F.lit(0), "_n_rejected": F.lit(0), "approval_match": zero, "_rejection_match": zero,
             "_reason": F.lit(""), "_reason_match": zero, "_feedback": zero})
-    summary = feedback_summary(recent_feedback(feedback, profile))
-    joined = candidates.crossJoin(F.broadcast(summary)).withColumn("_features", feature_struct())
-    here = F.col("embedding")
-
-    def best(vectors: Column, count: int) -> Column:
-        return mean_top(F.transform(vectors, lambda vector: dot(here, vector)), count)
-
-    reasons = F.transform("reasons", lambda reason: F.struct(
-        best(F.transform(F.filter("reason_vectors", lambda item: item["review_reason"] == reason), lambda item: item["embedding"]), 4).alias("match"),
-        reason.alias("reason")))
+    recent = cut_lineage(recent_feedback(feedback, profile))
+    summary = feedback_summary(recent)
+    # at most ``FEEDBACK_ROWS`` decisions, so their vectors fit into the driver and every task
+    decided = recent.select("decision", "review_reason", "embedding").collect()
+    accepted = [row["embedding"] for row in decided if row["decision"] == "accepted"]
+    rejected = [row for row in decided if row["decision"] == "rejected"]
+    reasons = sorted({row["review_reason"] for row in rejected if row["review_reason"]})
+    sets = [(matrix_of(accepted), 8), (matrix_of([row["embedding"] for row in rejected]), 4)]
+    sets += [(matrix_of([row["embedding"] for row in rejected if row["review_reason"] == reason]), 4) for reason in reasons]
+    joined = candidates.crossJoin(F.broadcast(summary)).withColumns({"_features": feature_struct(), "_means": top_means(F.col("embedding"), sets)})
+    ranked_reasons = [F.struct(F.get("_means", F.lit(i + 2)).alias("match"), F.lit(reason).alias("reason")) for i, reason in enumerate(reasons)]
+    none = F.lit(None).cast("struct<match:double,reason:string>")
     matched = joined.withColumns({
-        "approval_match": best(F.col("accepted_vectors"), 8), "_rejection_match": best(F.col("rejected_vectors"), 4),
-        "_top_reason": F.array_max(reasons)})
+        "approval_match": F.get("_means", F.lit(0)), "_rejection_match": F.get("_means", F.lit(1)),
+        "_top_reason": F.array_max(F.array(*ranked_reasons)) if reasons else none})
     a, r = F.col("n_accepted"), F.col("n_rejected")
     distance = clip((feature_distance("_features", "rejected_centroid") - feature_distance("_features", "accepted_centroid")) * 12.0, -4.0, 4.0)
     value = (
@@ -95,7 +93,7 @@ def with_feedback(candidates: DataFrame, feedback: DataFrame | None, profile: st
     extra = [name for name in summary.columns if name not in ("n_accepted", "n_rejected")]
     return matched.withColumn("_feedback", clip(value, -9.0, 7.0)).withColumns({
         "_reason": F.coalesce("_top_reason.reason", F.lit("")), "_reason_match": F.coalesce("_top_reason.match", F.lit(0.0)),
-    }).withColumnsRenamed({"n_accepted": "_n_accepted", "n_rejected": "_n_rejected"}).drop(*extra, "_features", "_top_reason")
+    }).withColumnsRenamed({"n_accepted": "_n_accepted", "n_rejected": "_n_rejected"}).drop(*extra, "_features", "_means", "_top_reason")
 
 
 def _profile_rule(profile: str, c: dict[str, Column]) -> Column:
@@ -144,8 +142,12 @@ def score_candidates(candidates: DataFrame, profile: str = "general", feedback:
         "visual": known(F.col("vision_score"), 0.0), "chat": known(F.col("chat_reaction_score"), 0.0),
         "joy": known(F.col("chat_joy_score"), 0.0), "moment": known(F.col("moment_reaction_score"), 0.0),
     }
-    length = F.greatest(F.lit(0.0), F.col("end_seconds") - F.col("start_seconds"))
-    reading = F.greatest(F.lit(0.0), F.coalesce(F.col("reading_likelihood"), F.lit(0.0)))
+    # measured once per row; the rules below only read these columns
+    rows = rows.withColumns({f"_c_{name}": value for name, value in c.items()} | {
+        "_c_length": F.greatest(F.lit(0.0), F.col("end_seconds") - F.col("start_seconds")),
+        "_c_reading": F.greatest(F.lit(0.0), F.coalesce(F.col("reading_likelihood"), F.lit(0.0))), "_c_tag_value": _tag_value(profile)})
+    c = {name: F.col(f"_c_{name}") for name in c}
+    length, reading, tag_value = F.col("_c_length"), F.col("_c_reading"), F.col("_c_tag_value")
     excluded = scores.disallowed_reading(F.col("reading_likelihood"), length, F.col("chat_question_match_score"),
                                          F.col("chat_reaction_score"), F.col("chat_joy_score"))
     adjustment = scores.duration_adjustment(length, F.col("tags"), c["chat"].cast("int"), F.col("logical_sense_score"), profile)
@@ -163,7 +165,6 @@ def score_candidates(candidates: DataFrame, profile: str = "general", feedback:
     game = F.greatest(F.least(F.lit(7.0), c["audio"] * 0.35), F.least(F.lit(13.0), c["game"] * 0.65), F.least(F.lit(14.0), c["moment"] / 30.0 * 14.0))
     chat = F.greatest(F.least(F.lit(11.0), c["chat"] * 0.55), F.least(F.lit(9.0), c["joy"] * 0.65))
     channels = F.sort_array(F.array(game, chat, F.least(F.lit(7.0), c["visual"] * 0.35)), asc=False)
-    tag_value = _tag_value(profile)
     reference = F.greatest(F.lit(0.0), F.col("_prompt")) * 10.0 if has_reference else F.lit(0.0)
     if pattern_tags:
         shared = F.size(F.array_intersect("tags", F.array(*[F.lit(tag) for tag in pattern_tags])))
@@ -178,7 +179,10 @@ def score_candidates(candidates: DataFrame, profile: str = "general", feedback:
         "duration": adjustment["value"],
         "reading": -reading * F.when(excluded, 52.0).otherwise(10.0),
     }
-    rows = rows.withColumns({f"_{name}": clip(value, *V.COMPONENT_LIMITS[name]) for name, value in raw.items()})
+    facts = {"_emotional": emotional, "_happy": happy, "_excluded": excluded, "_duration_reason": adjustment["reason"]}
+    rows = rows.withColumns({f"_{name}": clip(value, *V.COMPONENT_LIMITS[name]) for name, value in raw.items()} | facts)
+    emotional, happy, excluded = F.col("_emotional"), F.col("_happy"), F.col("_excluded")
+    adrift = ~emotional & (c["logical"] < 42)
     rows = rows.withColumn("ranking_components", F.struct(*[F.bround(f"_{name}", 3).alias(name) for name in raw]))
     total = sum((F.col(f"ranking_components.{name}") for name in raw), F.lit(0.0))
     exceptional = (
@@ -205,7 +209,7 @@ def score_candidates(candidates: DataFrame, profile: str = "general", feedback:
     reasons = [
         says(F.lit(has_reference), f"matches {source} ", number(F.greatest(F.lit(0.0), F.col("_prompt")) * 100), "%"),
         says(F.lit(True), "quality ", number(c["quality"]), "/99"),
-        adjustment["reason"],
+        F.col("_duration_reason"),
         says((a >= 3) & (F.col("approval_match") >= 0.30), f"matches your {profile} approvals"),
         says(likes, f"similar to your {profile} rejections",
              F.when((F.col("_reason_match") >= 0.42) & (F.col("_reason") != ""), F.concat(F.lit(": "), F.col("_reason"))).otherwise("")),
@@ -234,7 +238,7 @@ def score_candidates(candidates: DataFrame, profile: str = "general", feedback:
     rows = rows.withColumns({"approval_match": F.bround("approval_match", 4), "profile_feedback_score": F.bround("_feedback", 2)})
     if has_reference:
         rows = rows.withColumn("similarity", F.bround("_prompt", 4))
-    return rows.drop(*[f"_{name}" for name in raw], "_prompt", "_n_accepted", "_n_rejected", "_rejection_match", "_reason", "_reason_match", "_feedback")
+    return rows.drop(*[f"_{name}" for name in raw], *facts, *[name for name in rows.columns if name.startswith("_c_")], "_prompt", "_n_accepted", "_n_rejected", "_rejection_match", "_reason", "_reason_match", "_feedback")
 
 
 # ---- filters ----------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cuewise.functions.vectors import cosine, dot
 from cuewise.session import cut_lineage
@@ -25,8 +26,38 @@ def semantic_tags(rows: DataFrame, tag_vectors: DataFrame, minimum: float = 0.34
 def mean_top(similarities: Column, count: int) -> Column:
     """Mean of the largest values of an array; 0 for an empty one."""
     best = F.slice(F.sort_array(similarities, asc=False), 1, count)
-    total = F.aggregate(best, F.lit(0.0), lambda acc, value: acc + value)
-    return F.when(F.size(best) > 0, total / F.size(best)).otherwise(F.lit(0.0))
+
+    def mean(values: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda acc, value: acc + value)
+        return F.when(F.size(values) > 0, total / F.size(values)).otherwise(F.lit(0.0))
+
+    # bound to a lambda variable, the sorted list is built once
+    return F.get(F.transform(F.array(best), mean), F.lit(0))
+
+
+def top_means(embedding: Column, sets: list[tuple[np.ndarray, int]]) -> Column:
+    """For every set of vectors the mean of the ``count`` highest dot products, as one array per row.
+
+    The sets travel in the function's closure, so callers pass only sets of a checked size. Whole batches are multiplied
+    at once, which is far cheaper than a fold per pair of vectors.
+    """
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def means(vectors: pd.Series) -> pd.Series:
+        rows = np.vstack(vectors.to_numpy()).astype("float64")
+        columns = []
+        for matrix, count in sets:
+            if len(matrix) == 0:
+                columns.append(np.zeros(len(rows)))
+                continue
+            top = min(count, len(matrix))
+            dots = rows @ matrix.T
+            columns.append(np.partition(dots, len(matrix) - top, axis=1)[:, len(matrix) - top:].mean(axis=1))
+        return pd.Series(list(np.column_stack(columns)))
+    return means(embedding)
+
+
+def matrix_of(vectors: list) -> np.ndarray:
+    return np.array(vectors, dtype="float64") if vectors else np.empty((0, 0))
 
 
 BROADCAST_VECTORS = 4096
@@ -36,16 +67,15 @@ def mean_top_similarity(rows: DataFrame, references: DataFrame, count: int, out:
                         broadcast_limit: int = BROADCAST_VECTORS) -> DataFrame:
     """Mean of the ``count`` highest dot products of each row with the reference vectors; 0 without references.
 
-    The references are counted first. Up to ``broadcast_limit`` vectors travel to the rows as one array. Beyond that
+    The references are counted first. Up to ``broadcast_limit`` vectors travel to the rows as one matrix. Beyond that
     they are packed into blocks of a fixed number of vectors; each row meets every block through an equi-join that is
     spread over ``spread`` keys per block, keeps its best ``count`` values there, and the partial bests are merged. No
     pair is ever written out.
     """
     total = references.count()
     if total <= broadcast_limit:
-        packed = references.agg(F.collect_list("ref_vector").alias("_refs"))
-        scored = F.transform("_refs", lambda ref: dot(F.col("embedding"), ref))
-        return rows.crossJoin(F.broadcast(packed)).withColumn(out, mean_top(scored, count)).drop("_refs")
+        matrix = matrix_of([row[0] for row in references.select("ref_vector").limit(broadcast_limit).collect()])
+        return rows.withColumn(out, F.get(top_means(F.col("embedding"), [(matrix, count)]), F.lit(0)))
     blocks = -(-total // block)
     packed = references.groupBy(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int").alias("_block")).agg(
         F.collect_list("ref_vector").alias("_refs")).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
@@ -91,13 +121,17 @@ def _split_blocks(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return group[group["_block"] == low], group[group["_block"] == high]
 
 
+def _no_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    return group.iloc[:0].assign(left_id=group["id"], right_id=group["id"])[["video_id", "left_id", "right_id"]]
+
+
 def near_duplicate_pairs(rows: DataFrame, threshold: float = 0.88, overlap_similarity: float = 0.70,
                          overlap_ratio: float = 0.55, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every pair of one recording that is similar, or that overlaps in time and is fairly similar."""
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         one, two = _split_blocks(group)
         if one.empty or two.empty:
-            return pd.DataFrame({"video_id": [], "left_id": [], "right_id": [], "similarity": []})
+            return _no_pairs(group).assign(similarity=0.0)
         similar, mask = _near_mask(one, two, threshold, overlap_similarity, overlap_ratio)
         i, j = np.nonzero(mask)
         a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
@@ -137,7 +171,7 @@ def duplicate_links(rows: DataFrame, threshold: float = 0.88, overlap_similarity
     def link(group: pd.DataFrame) -> pd.DataFrame:
         one, two = _split_blocks(group)
         if one.empty or two.empty:
-            return pd.DataFrame({"video_id": [], "left_id": [], "right_id": []})
+            return _no_pairs(group)
         _, mask = _near_mask(one, two, threshold, overlap_similarity, overlap_ratio)
         i, j = np.nonzero(mask)
         ids = np.unique(np.concatenate([one["id"].to_numpy(), two["id"].to_numpy()]))

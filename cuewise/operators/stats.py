@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuewise.functions import vocab as V
 from cuewise.functions.tags import canonical_tags
 from cuewise.functions.text import half_even
+from cuewise.operators.ordering import exact_quantiles
 
 RATINGS = ("accepted", "rejected", "unrated")
 SCORES = {
@@ -86,9 +87,11 @@ def calibration(comparison: DataFrame) -> DataFrame:
 
 def published_performance(facts: DataFrame) -> DataFrame:
     shown = facts.where(published())
-    watched = F.when(F.col("average_watch_percent") > 0, F.col("average_watch_percent").cast("double"))
-    return shown.agg(F.count("*").alias("count"), F.coalesce(F.sum("views"), F.lit(0)).alias("views"), F.bround(F.median(watched), 1).alias("median_watch_percent"),
+    watched = shown.where(F.col("average_watch_percent") > 0).select(F.lit(0).alias("_all"), F.col("average_watch_percent").cast("double").alias("_watch"))
+    middle = exact_quantiles(watched, ["_all"], "_watch", [0.5], ["_median"])
+    sums = shown.agg(F.lit(0).alias("_all"), F.count("*").alias("count"), F.coalesce(F.sum("views"), F.lit(0)).alias("views"),
                      F.coalesce(F.sum("shares"), F.lit(0)).alias("shares"), F.coalesce(F.sum("comments"), F.lit(0)).alias("comments"))
+    return sums.join(middle, "_all", "left").withColumn("median_watch_percent", F.bround("_median", 1)).drop("_all", "_median")
 
 
 def reading_flags(facts: DataFrame) -> DataFrame:
