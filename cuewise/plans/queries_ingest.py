@@ -252,3 +252,13 @@ def bench_export(spark, sf_dir):
     marks = scored.where("id % 4 = 1").select("id", F.lit("format: czytanie").alias("tag"), F.when(F.col("id") % 8 == 1, "correct").otherwise("incorrect").alias("verdict"))
     records = benchmark_files.export_records(scored, marks, reviews.select("id", "profile"), b"test secret of thirty-two bytes!")
     return records.withColumns({"tags": F.array_join("tags", "|"), "profiles": F.array_join("profiles", "|"), "tag_feedback": F.to_json("tag_feedback"), "features": F.to_json("features")})
+
+
+@query("analyse_recordings")
+def analyse_recordings(spark, sf_dir):
+    from cuewise.plans.analysis import analyse
+
+    parts = carriers.transcript_parts(spark, sf_dir)
+    durations = parts.groupBy("video_id").agg(F.max("end_seconds").alias("duration_seconds"))
+    found = analyse(parts, "turn", durations, vocab=PROBE)
+    return found.select("video_id", "id", "start_seconds", "end_seconds", F.array_join("tags", "|").alias("tags"), "quality_score", "short_potential_score", "context_score")

@@ -207,3 +207,14 @@ def test_gate_names_its_failures(spark):
 def test_retention_removes_old_then_over_budget(spark):
     files = spark.createDataFrame([("a", 10, 1.0), ("b", 10, 5.0), ("c", 10, 6.0), ("d", 10, 7.0)], "path string, size long, modified double")
     assert {r["path"]: r["action"] for r in maintenance.retention_plan(files, 1.0, 20).collect()} == {"a": "old", "b": "budget", "c": "keep", "d": "keep"}
+
+
+def test_keyed_index_and_quantiles_with_one_hot_key(spark):
+    import numpy as np
+
+    rows = spark.range(900).select(F.when(F.col("id") < 600, "hot").otherwise((F.col("id") % 5).cast("string")).alias("k"), ((F.col("id") * 37) % 101).cast("double").alias("v"), "id")
+    got = ordering.keyed_index(rows, ["k"], [F.col("v"), F.col("id")], {"upto": F.lit(2)}).where("k = 'hot'").orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 601)) and [r["upto"] for r in got] == list(range(2, 1202, 2))
+    assert [(r["v"], r["id"]) for r in got] == sorted(((i * 37) % 101, i) for i in range(600))
+    q = ordering.exact_quantiles(rows, ["k"], "v", [0.25, 0.55, 0.99], ["a", "b", "c"]).where("k = 'hot'").first()
+    assert np.allclose([q["a"], q["b"], q["c"]], np.percentile([(i * 37) % 101 for i in range(600)], [25, 55, 99]))
