@@ -11,6 +11,7 @@ from cuewise.functions.vocab import BROAD_MARKERS, DEFAULT_VOCABULARY, DETAILED_
 from cuewise.operators import candidates, chat, features, intervals, similarity, stats
 from cuewise.operators.feedback import upsert
 from cuewise.operators.maintenance import needs_backfill
+from cuewise.session import cut_lineage
 from cuewise.sources.chat_files import replace_messages
 
 
@@ -34,12 +35,13 @@ def analyse(parts: DataFrame, order: str, durations: DataFrame, boundaries: Data
         free = F.size("boundary_signals") == 0
         named = snapped.withColumns({"start_seconds": F.when(free, F.col("snapped_start")).otherwise(F.col("start_seconds")),
                                      "end_seconds": F.when(free, F.col("snapped_end")).otherwise(F.col("end_seconds"))}).drop("snapped_start", "snapped_end", "duration_seconds")
+    named = cut_lineage(named)  # candidates are a stage of their own; the joins below read them several times
     window = 20.0 if mode == "extended" else 12.0
     around = intervals.attach_neighbour_text(named, parts, window, 700, item_id=order)
     tagged = around.withColumns({"tags": lexical_tags(F.col("transcript"), detailed=detailed, broad=broad), "keywords": keywords(F.col("transcript")), "analysis_mode": F.lit(mode)})
     if evidence is not None:
         tagged = tagged.join(evidence, ["video_id", "id"], "left")
-    scored = features.recompute(tagged, None, vocab)
+    scored = features.recompute(cut_lineage(tagged), None, vocab)
     if vectors is None:
         return scored
     limits = {"threshold": 0.84, "overlap_ratio": 0.45, "overlap_similarity": 0.64} if mode == "extended" else {}
