@@ -154,7 +154,26 @@ def event_response_scores(spark, sf_dir):
     return audio.event_response_scores(carriers.segments(spark, sf_dir, False), carriers.audio_windows(spark, sf_dir)).select("id", "game_reaction_score")
 
 
-@query("voice_delivery")
+CTE["vw"] = "SELECT video_id, idx, game * 20 AS energy, mic / 600 AS tone FROM energy"
+NEEDS["vw"] = ("energy",)
+CTE["fl"] = "SELECT video_id, greatest(40.0::DOUBLE, quantile_cont(energy, 0.55) * 0.55::DOUBLE) AS fl, max(idx) + 1 AS n FROM vw GROUP BY 1"
+NEEDS["fl"] = ("vw",)
+CTE["vs"] = """SELECT s.id, s.end_seconds - s.start_seconds AS d, count(*) AS w, count(*) FILTER (energy >= fl) AS v, quantile_cont(ln(1 + energy), 0.85) FILTER (energy >= fl) - quantile_cont(ln(1 + energy), 0.25) FILTER (energy >= fl) AS span,
+  stddev_pop(tone) FILTER (energy >= fl) AS sd, avg(tone) FILTER (energy >= fl) AS mean FROM seg s JOIN fl ON fl.video_id = s.video_id JOIN vw ON vw.video_id = s.video_id AND idx >= floor(s.start_seconds / 0.25)
+  AND idx < least(n, greatest(floor(s.start_seconds / 0.25) + 1, ceil(s.end_seconds / 0.25))) GROUP BY ALL"""
+NEEDS["vs"] = ("seg", "fl", "vw")
+CTE["tp"] = """SELECT id, CASE WHEN n >= 8 AND len >= 5 AND least(c0, c1, c2) > 0 THEN sqrt(((c0 / p - m) ** 2 + (c1 / p - m) ** 2 + (c2 / p - m) ** 2) / 3) / greatest(0.1::DOUBLE, m) END AS cv FROM (
+  SELECT *, (c0 / p + c1 / p + c2 / p) / 3 AS m FROM (SELECT id, end_seconds - start_seconds AS len, greatest(0.5::DOUBLE, (end_seconds - start_seconds) / 3) AS p, count(*) AS n,
+  count(*) FILTER (word_start < start_seconds + (end_seconds - start_seconds) / 3) AS c0, count(*) FILTER (word_start >= start_seconds + (end_seconds - start_seconds) / 3 AND word_start < start_seconds + (end_seconds - start_seconds) * 2 / 3) AS c1,
+  count(*) FILTER (word_start >= start_seconds + (end_seconds - start_seconds) * 2 / 3 AND word_start < end_seconds) AS c2 FROM words GROUP BY id, start_seconds, end_seconds) a) b"""
+NEEDS["tp"] = ("words",)
+CTE["vd"] = """SELECT s.id, vs.d, coalesce(w, 0) >= 8 AND coalesce(v, 0) >= 5 AS enough, greatest(0, least(1, (span - 0.28) / 0.72)) AS lv, greatest(0, least(1, (CASE WHEN mean > 0 THEN sd / greatest(0.002, mean) ELSE 0 END - 0.13) / 0.22)) AS tn,
+  CASE WHEN cv IS NOT NULL THEN greatest(0, least(1, (cv - 0.24) / 0.46)) END AS tm FROM seg s LEFT JOIN vs ON vs.id = s.id LEFT JOIN tp ON tp.id = s.id"""
+NEEDS["vd"] = ("seg", "vs", "tp")
+
+
+@query("voice_delivery", cte("vd") + """SELECT id, CAST(CASE WHEN NOT enough THEN 0 WHEN lv >= 0.48 AND tn >= 0.48 AND coalesce(tm, 0) >= 0.48 AND lv * 0.42 + tn * 0.34 + coalesce(tm, 0) * 0.24 >= 0.70
+  THEN greatest(7, least(16, round_even(7 + (lv * 0.42 + tn * 0.34 + coalesce(tm, 0) * 0.24) * 9, 0))) WHEN d >= 15 AND lv <= 0.30 AND tm <= 0.20 THEN -8 ELSE 0 END AS INT) AS voice_expression_score FROM vd""")
 def voice_delivery(spark, sf_dir):
     segments = carriers.segments(spark, sf_dir, False)
     words = intervals.word_times(segments.select("video_id", "id", "start_seconds", "end_seconds", "transcript"), "transcript", "start_seconds", "end_seconds")
