@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm import language, packing, secrets, simhash, substrings
+from cuewise.llm import covertree, forest, language, lattice, licenses, packing, secrets, simhash, substrings, unigram
 from cuewise.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
@@ -39,4 +39,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_simhash, op8_best_fit_packing, op9_secret_scan, op10_substring_dedup)}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.with_counts(read_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text."""
+    docs = read_table(spark, sf_dir, "documents")
+    return lattice.encode(docs).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(read_table(spark, sf_dir, "embeddings"), lambda x: F.floor(F.lit(256.0) * x), lambda i: i % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_token_counts, op3_nearest_neighbours, op4_simhash, op5_sentencepiece, op6_license_scan, op7_exact_top_k,
+    op8_best_fit_packing, op9_secret_scan, op10_substring_dedup)}
