@@ -6,9 +6,9 @@ there. From each matched seed the extension goes both ways, window by window: th
 seed as anchor are joined on their own hash (96 bits), and each is kept as a repeat if an earlier text, or an earlier
 place of its own text, has it too. Neighbouring repeats merge into maximal ones by covering words.
 
-Per hash only the earliest place is aggregated (combined before the shuffle) and joined back, so a passage that a third of
-all texts share needs no list of its places and gives no pairs. Texts travel compressed, once; only those with a matched
-seed are held until the end. Equal whole texts are settled by their digest without windows.
+Windows whose seed is shared by more than ``HOT`` places are dealt out by id as well, and the earliest of the parts are compared in
+a second round, so a passage that a third of all texts share needs no list of its places, no pairs and no single task.
+Texts are shuffled once, compressed. Equal whole texts are settled by their digest without windows.
 
 Defined cases: a null or blank text has no words and nothing is removed; texts of fewer than ``length`` words lose nothing;
 rows with equal id and text count as one document and are both reported; rows with equal id and different texts are
@@ -24,12 +24,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import stored
-
-GRAM, LENGTH = 5, 20
+GRAM, LENGTH, HOT = 6, 20, 5000
 FIRST, SECOND, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -81,13 +79,13 @@ def _seeds(gram: int, length: int):
                     continue
                 grams = gram_hashes(word_hashes(words), gram)
                 at = np.unique(anchors(grams, length - gram + 1))
-                ids.append([key] * len(at))
+                ids += [key] * len(at)
                 places.append(at)
                 found.append(grams[at])
                 # the same place of an equal text has the same mark
                 marks.append((at.astype(np.uint64) * FINAL + np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words)))) >> np.uint64(33))
             if ids:
-                yield pd.DataFrame({"h": np.concatenate(found).view(np.int64), "id": sum(ids, []), "pos": np.concatenate(places).astype(np.int32), "mark": np.concatenate(marks).astype(np.int32)})
+                yield pd.DataFrame({"h": np.concatenate(found).view(np.int64), "id": ids, "pos": np.concatenate(places).astype(np.int32), "mark": np.concatenate(marks).astype(np.int32)})
     return run
 
 
@@ -95,30 +93,33 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     squeeze = zstandard.ZstdCompressor(1).compress
     for frame in batches:
         raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in frame["text"]]
-        yield frame.drop(columns="text").assign(packed=[None if r is None else squeeze(r) for r in raw], th=[xxhash.xxh3_128_digest(r or b"") for r in raw])
+        yield frame.drop(columns="text").assign(packed=[None if r is None else squeeze(r) for r in raw])
+
+
+def _mark(digest: bytes) -> int:
+    """A part of the text's digest that tells apart rows of equal id and different texts."""
+    return int.from_bytes(digest[:4], "little")
+
 
+def _is_copy(digest: bytes, copies) -> bool:
+    return copies is not None and any(bytes(c) == digest for c in copies)
 
-def _windows(gram: int, length: int, with_text: bool):
+
+def _windows(gram: int, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand = zstandard.ZstdDecompressor().decompress
         for frame in batches:
-            rows = []
-            for packed, copy, seeds in zip(frame["packed"], frame["copy"], frame["seeds"]):
-                raw = b"" if packed is None else expand(packed)
-                words = raw.split()
-                removed, start, h, g = 0, None, None, None
-                if copy and len(words) >= length:
-                    removed = len(words)
-                elif not copy and seeds is not None and len(words) >= length:
-                    hashes = word_hashes(words)
-                    chosen = np.flatnonzero(np.isin(anchors(gram_hashes(hashes, gram), length - gram + 1), np.asarray(seeds)))
-                    if len(chosen):
-                        start = chosen.astype(np.int32)
-                        h = gram_hashes(hashes, length)[chosen].view(np.int64)
-                        g = (gram_hashes(hashes, length, SECOND)[chosen] >> np.uint64(33)).astype(np.int32)
-                rows.append((len(words), removed, _digest([] if removed else words), packed if start is not None or with_text and not removed else None, start, h, g))
-            extra = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "held", "start", "h", "g"])
-            yield pd.concat([frame.drop(columns=["packed", "copy", "seeds"]).reset_index(drop=True), extra], axis=1)
+            for key, packed, th, seeds, copies in zip(frame["id"], frame["packed"], frame["th"], frame["seeds"], frame["copies"]):
+                if seeds is None or packed is None or _is_copy(th, copies):
+                    continue
+                hashes = word_hashes(expand(packed).split())
+                seeds = np.asarray(seeds)
+                seed = anchors(gram_hashes(hashes, gram), length - gram + 1)
+                chosen = np.flatnonzero(np.isin(seed, seeds >> 1))
+                if len(chosen):
+                    yield pd.DataFrame({
+                        "h": gram_hashes(hashes, length)[chosen].view(np.int64), "g": (gram_hashes(hashes, length, SECOND)[chosen] >> np.uint64(33)).astype(np.int32),
+                        "hot": np.isin(seed[chosen], seeds[seeds & 1 == 1] >> 1), "id": [key] * len(chosen), "place": (_mark(th) << 31) + chosen})
     return run
 
 
@@ -126,28 +127,33 @@ def _settle(length: int, with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand = zstandard.ZstdDecompressor().decompress
         for frame in batches:
-            counts, digests, texts = [], [], []
-            for held, gone, removed, digest in zip(frame["held"], frame["gone"], frame["n_removed"], frame["kept_sha256"]):
-                raw = None if held is None else expand(held)
-                if gone is not None:
-                    words = raw.split()
-                    change = np.zeros(len(words) + 1, np.int32)
+            rows = []
+            for packed, th, gone, copies in zip(frame["packed"], frame["th"], frame["gone"], frame["copies"]):
+                raw = b"" if packed is None else expand(packed)
+                words = kept = raw.split()
+                if len(words) >= length and _is_copy(th, copies):
+                    kept = []
+                elif gone is not None:
                     at = np.asarray(gone)
+                    at = at[at >> 31 == _mark(th)] & (2 ** 31 - 1)
+                    change = np.zeros(len(words) + 1, np.int32)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + length, -1)
-                    keep = np.cumsum(change[:-1]) == 0
-                    kept = [w for w, k in zip(words, keep.tolist()) if k]
-                    removed, digest, raw = len(words) - len(kept), _digest(kept), b" ".join(kept)
-                counts.append(removed)
-                digests.append(digest)
-                texts.append(None if raw is None and not removed else (raw or b"").decode("utf-8", "surrogatepass"))
-            out = frame.drop(columns=["held", "gone"]).assign(n_removed=counts, kept_sha256=digests)
-            yield out.assign(kept_text=texts) if with_text else out
+                    kept = [w for w, k in zip(words, np.cumsum(change[:-1]).tolist()) if not k]
+                removed = len(words) - len(kept)
+                rows.append((len(words), removed, _digest(kept), None if packed is None or not with_text else (b" ".join(kept) if removed else raw).decode("utf-8", "surrogatepass")))
+            extra = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
+            out = pd.concat([frame[["id", "rest"]].reset_index(drop=True), extra], axis=1)
+            yield out if with_text else out.drop(columns="kept_text")
     return run
 
 
+def text_digest():
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, hot: int = HOT, parts: int = 64) -> DataFrame:
     """(id, rest, n_words, n_removed, kept_sha256[, kept_text]) of every row; ``rest`` is a struct of all other columns.
 
     ``kept_text`` is the text itself where nothing was removed, else the kept words joined by one space.
@@ -159,31 +165,33 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), rest.alias("rest"))
 
     seeds = rows.select("id", "text").mapInPandas(_seeds(gram, length), f"h long, id {kind}, pos int, mark int")
-    shared = seeds.groupBy("h").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low != high").select("h")
-    matched = seeds.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("seeds"))
+    shared = seeds.groupBy("h").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where("low != high")
+    # the last bit of a seed tells whether very many places have it
+    matched = seeds.select("h", "id", "pos").join(shared.select("h", (F.col("n") > hot).cast("int").alias("hot")), "h").groupBy("id").agg(
+        F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("seeds"))
 
-    named = rows.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.udf(lambda t: xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")), "binary", useArrow=True)
-    names = named.select("id", digest("text").alias("th"))
+    names = rows.select("id", text_digest().alias("th"))
     firsts = names.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.col("id").isNull()).alias("without")).where("n > 1")
-    copies = names.join(firsts.where(~F.col("without")), "th").where("id > first").unionByName(
-        names.join(firsts.where("without"), "th").where("id is not null")).select("id", "th").distinct().withColumn("copy", F.lit(True))
-
-    texts = rows.mapInPandas(_packed, f"id {kind}, rest string, packed binary, th binary")
-    known = texts.alias("t").join(matched.alias("m"), F.col("t.id").eqNullSafe(F.col("m.id")), "left").join(
-        copies.alias("c"), F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.th") == F.col("c.th")), "left").select(
-        "t.id", "t.rest", "t.packed", "t.th", F.coalesce("c.copy", F.lit(False)).alias("copy"), "m.seeds")
-    schema = f"id {kind}, rest string, th binary, n_words long, n_removed long, kept_sha256 string, held binary, start array<int>, h array<long>, g array<int>"
-    first_pass = stored(known.mapInPandas(_windows(gram, length, with_text), schema))
-
-    windows = first_pass.where("start is not null").select("id", "th", F.explode(F.arrays_zip("start", "h", "g")).alias("w")).select(
-        F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.struct("id", "th", F.col("w.start").alias("start")).alias("place"))
-    earliest = windows.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    gone = windows.join(earliest, ["h", "g"]).where("place > first").groupBy("place.id", "place.th").agg(F.collect_set("place.start").alias("gone"))
-
-    slim = first_pass.drop("h", "g")
-    candidates = slim.where("start is not null").drop("start").alias("s").join(
-        gone.alias("x"), F.col("s.id").eqNullSafe(F.col("x.id")) & (F.col("s.th") == F.col("x.th")), "left").select("s.*", "x.gone")
-    settled = slim.where("start is null").drop("start").withColumn("gone", F.lit(None).cast("array<int>"))
+    copies = names.join(firsts, "th").where(F.when(F.col("without"), F.col("id").isNotNull()).otherwise(F.col("id") > F.col("first"))).groupBy("id").agg(
+        F.collect_set("th").alias("copies"))
+
+    texts = rows.withColumn("th", text_digest()).mapInPandas(_packed, f"id {kind}, rest string, th binary, packed binary")
+    windows = _with_facts(texts, matched, copies, "seeds").mapInPandas(_windows(gram, length), f"h long, g int, hot boolean, id {kind}, place long")
+    # windows of crowded seeds are dealt out by id too; the earliest of each part then meet in a second, small round
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(-1)
+    placed = windows.select("h", "g", salt.alias("salt"), F.struct("id", "place").alias("at")).withColumn(
+        "first", F.min("at").over(Window.partitionBy("h", "g", "salt")))
+    later = placed.where("at > first").select("at")
+    heads = placed.where(F.when(F.col("at") == F.col("first"), F.col("salt")).otherwise(-1) >= 0)
+    beaten = heads.withColumn("over", F.min("at").over(Window.partitionBy("h", "g"))).where("at > over").select("at")
+    gone = later.unionByName(beaten).groupBy("at.id").agg(F.collect_set("at.place").alias("gone"))
     out = f"id {kind}, rest string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return candidates.unionByName(settled).drop("th").mapInPandas(_settle(length, with_text), out)
+    return _with_facts(texts, gone, copies, "gone").mapInPandas(_settle(length, with_text), out)
+
+
+def _with_facts(texts: DataFrame, facts: DataFrame, copies: DataFrame, name: str) -> DataFrame:
+    """Texts with what is known of their ids; both uses deal the texts out alike, so that they are shuffled once."""
+    kind = facts.schema[name].dataType
+    both = facts.select("id", name, F.lit(None).cast("array<binary>").alias("copies")).unionByName(
+        copies.select("id", F.lit(None).cast(kind).alias(name), "copies")).groupBy("id").agg(F.first(name, True).alias(name), F.first("copies", True).alias("copies"))
+    return texts.alias("t").join(both.alias("m"), F.col("t.id").eqNullSafe(F.col("m.id")), "left").select("t.*", f"m.{name}", "m.copies")
