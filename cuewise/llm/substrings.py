@@ -109,17 +109,26 @@ def _windows(gram: int, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand = zstandard.ZstdDecompressor().decompress
         for frame in batches:
+            keys, found = [], []
             for key, packed, th, seeds, copies in zip(frame["id"], frame["packed"], frame["th"], frame["seeds"], frame["copies"]):
                 if seeds is None or packed is None or _is_copy(th, copies):
                     continue
                 hashes = word_hashes(expand(packed).split())
+                if len(hashes) < length:
+                    continue
                 seeds = np.asarray(seeds)
+                seeds = seeds[seeds >> 1 < len(hashes)]  # another text of this id may be longer
                 seed = anchors(gram_hashes(hashes, gram), length - gram + 1)
-                chosen = np.flatnonzero(np.isin(seed, seeds >> 1))
+                known = np.zeros(len(hashes), np.int8)
+                known[seeds >> 1] = 1 + (seeds & 1)
+                chosen = np.flatnonzero(known[seed])
                 if len(chosen):
-                    yield pd.DataFrame({
-                        "h": gram_hashes(hashes, length)[chosen].view(np.int64), "g": (gram_hashes(hashes, length, SECOND)[chosen] >> np.uint64(33)).astype(np.int32),
-                        "hot": np.isin(seed[chosen], seeds[seeds & 1 == 1] >> 1), "id": [key] * len(chosen), "place": (_mark(th) << 31) + chosen})
+                    keys += [key] * len(chosen)
+                    found.append((gram_hashes(hashes, length)[chosen].view(np.int64), (gram_hashes(hashes, length, SECOND)[chosen] >> np.uint64(33)).astype(np.int32),
+                                  known[seed[chosen]] == 2, (_mark(th) << 31) + chosen))
+            if found:
+                h, g, crowded, place = map(np.concatenate, zip(*found))
+                yield pd.DataFrame({"h": h, "g": g, "hot": crowded, "id": keys, "place": place})
     return run
 
 
