@@ -63,7 +63,7 @@ def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: s
 def bit_planes(values: np.ndarray) -> np.ndarray:
     """(words, 64): plane b of a word holds bit b of its 64 values, one lane each. len(values) is a multiple of 64."""
     bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
 
 
 def lanes_within(planes: np.ndarray, word: np.ndarray, query: np.ndarray, radius: int) -> np.ndarray:
