@@ -84,7 +84,7 @@ def probabilities(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def document_probabilities(model: Model, texts: list[bytes], block: int = 1024) -> np.ndarray:
+def document_probabilities(model: Model, texts: list[bytes], block: int = 2048) -> np.ndarray:
     """(text, language) means over all positions of each text."""
     bytes_, size, owner = cut(texts)
     total = np.zeros((len(texts), len(model["b"])))
