@@ -132,7 +132,7 @@ def accepted_matches(previous: DataFrame, new: DataFrame) -> DataFrame:
     return _classified(compared).where(F.col("confidence").isNotNull()).drop("previous_text", "new_text")
 
 
-def match_moments(previous: DataFrame, new: DataFrame, maximum_rounds: int = 200) -> DataFrame:
+def match_moments(previous: DataFrame, new: DataFrame) -> DataFrame:
     """One-to-one matches, the same as taking pairs greedily from the best to the worst.
 
     The order of pairs is total, so a pair that is the best one for both of its ends is certain. Every round takes all
@@ -144,7 +144,7 @@ def match_moments(previous: DataFrame, new: DataFrame, maximum_rounds: int = 200
     open_pairs = accepted_matches(previous, new).withColumn("_order", order)
     open_pairs = cut_lineage(open_pairs)
     chosen = None
-    for _ in range(maximum_rounds):
+    while True:  # each round settles at least the best open pair
         best_old = open_pairs.groupBy("video_id", "previous_id").agg(F.min("_order").alias("_old"))
         best_new = open_pairs.groupBy("video_id", "new_id").agg(F.min("_order").alias("_new"))
         ranked = open_pairs.join(best_old, ["video_id", "previous_id"]).join(best_new, ["video_id", "new_id"])
@@ -155,7 +155,6 @@ def match_moments(previous: DataFrame, new: DataFrame, maximum_rounds: int = 200
         open_pairs = cut_lineage(left)
         if open_pairs.isEmpty():
             return chosen.drop("_order")
-    raise RuntimeError("matching did not settle")
 
 
 def activate_run(current: DataFrame, retired: DataFrame, records: DataFrame, run_id: str, evidence: DataFrame | None = None) -> DataFrame:

@@ -185,7 +185,7 @@ def duplicate_links(rows: DataFrame, threshold: float = 0.88, overlap_similarity
     return _blocked(slim, block_rows).groupBy("video_id", "_low", "_high").applyInPandas(link, schema)
 
 
-def connected_components(links: DataFrame, maximum_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """Smallest member id of every linked node, as (video_id, id, component).
 
     Rounds of alternating star contraction: first every node links its larger neighbours to its smallest one, then its
@@ -212,14 +212,12 @@ def connected_components(links: DataFrame, maximum_rounds: int = 60) -> DataFram
 
     edges = cut_lineage(links.select("video_id", F.greatest("left_id", "right_id").alias("a"), F.least("left_id", "right_id").alias("b")).distinct())
     before = state(edges)
-    for _ in range(maximum_rounds):
+    while True:
         edges = cut_lineage(contract(contract(edges, larger=True), larger=False))
         after = state(edges)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("duplicate groups did not settle")
     members = edges.select("video_id", F.greatest("a", "b").alias("id"), F.least("a", "b").alias("component"))
     roots = members.select("video_id", F.col("component").alias("id"), "component").distinct()
     return members.unionByName(roots)
@@ -228,11 +226,12 @@ def connected_components(links: DataFrame, maximum_rounds: int = 60) -> DataFram
 def assign_duplicate_groups(rows: DataFrame, **limits) -> DataFrame:
     """Add ``duplicate_group``: ``repeat-N`` per recording in the order of first members, '' for single rows."""
     groups = connected_components(duplicate_links(rows, **limits))
-    # numbering touches one row per group, not the members
-    firsts = groups.select("video_id", "component").distinct()
-    from cuewise.operators.ordering import chunked_row_number
+    # numbering touches one row per group, in the order of the first member's time; ids may be of any type
+    members = groups.join(rows.select("video_id", "id", "start_seconds"), ["video_id", "id"])
+    firsts = members.groupBy("video_id", "component").agg(F.min(F.struct("start_seconds", "id")).alias("_first"))
+    from cuewise.operators.ordering import keyed_index
 
-    numbered = chunked_row_number(firsts, ["video_id"], "component", "_number")
+    numbered = keyed_index(firsts, ["video_id"], [F.col("_first")], out="_number").select("video_id", "component", "_number")
     labels = groups.join(numbered, ["video_id", "component"]).select(
         "video_id", "id", F.concat(F.lit("repeat-"), F.col("_number").cast("string")).alias("duplicate_group"))
     return rows.drop("duplicate_group").join(labels, ["video_id", "id"], "left").withColumn(

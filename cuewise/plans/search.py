@@ -9,10 +9,20 @@ from cuewise.operators import diversity, ranking
 from cuewise.operators.similarity import suppress_duplicates
 
 
+LARGEST_LIMIT = 100
+
+
+def checked_limit(limit: int) -> int:
+    """A search returns at most 100 rows; a larger request is refused, not cut."""
+    if not 1 <= limit <= LARGEST_LIMIT:
+        raise ValueError(f"limit must be between 1 and {LARGEST_LIMIT}, not {limit}")
+    return limit
+
+
 def top_ranked(scored: DataFrame, limit: int) -> DataFrame:
     """Best rows after duplicates, then reading-aloud clips are removed. A suppressed group is not re-opened."""
     kept = ranking.filter_reading(suppress_duplicates(scored))
-    return kept.orderBy(F.col("ranking_score").desc(), "start_seconds", "id").limit(min(limit, 100))
+    return kept.orderBy(F.col("ranking_score").desc(), "start_seconds", "id").limit(checked_limit(limit))
 
 
 def page(rows: DataFrame, mode: str, limit: int) -> DataFrame:
@@ -48,7 +58,7 @@ def search_by_references(segments: DataFrame, references: DataFrame, feedback: D
     rows = segments.where(F.col("embedding").isNotNull())
     scored = ranking.score_candidates(rows, profile, feedback, references)
     kept = ranking.filter_profanity(ranking.filter_reading(suppress_duplicates(scored)), profanity)
-    return kept.orderBy(F.col("ranking_score").desc(), "start_seconds", "id").limit(min(limit, 100))
+    return kept.orderBy(F.col("ranking_score").desc(), "start_seconds", "id").limit(checked_limit(limit))
 
 
 def top_clips(segments: DataFrame, reviews: DataFrame, feedback: DataFrame | None, limit: int = 10, unrated_only: bool = False,
