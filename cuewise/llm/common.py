@@ -24,6 +24,20 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def join_crowded(rows: DataFrame, facts: DataFrame, key: str, count: str, spread: str, parts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with the one row per key of ``facts`` (materialised), whose ``count`` says how many rows have it.
+
+    Keys of over a thousandth of all these rows, hence fewer than a thousand keys, are broadcast as marks; their rows are
+    dealt out by ``spread`` as well, and their facts are repeated for each of the ``parts``.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    crowded = F.col(count) * 1000 > total
+    marks = facts.where(crowded).select(key, F.lit(True).alias("crowded"))
+    dealt = rows.join(F.broadcast(marks), key, "left").withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0))
+    repeated = facts.withColumn("salt", F.explode(F.when(crowded, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(repeated, [key, "salt"]).drop("salt", "crowded")
+
+
 def local_forest(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest reachable index of every node of a small graph with links i-j."""
     label = np.arange(count)

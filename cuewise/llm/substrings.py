@@ -6,6 +6,7 @@ there. From each matched seed the extension goes both ways, window by window: th
 seed as anchor are joined on their own hash (96 bits), and each is kept as a repeat if an earlier text, or an earlier
 place of its own text, has it too. Neighbouring repeats merge into maximal ones by covering words.
 
+Rows of an anchor or of a whole text that very many have are dealt out by id before they meet its facts.
 Windows whose seed is shared by more than ``HOT`` places are dealt out by id as well, and the earliest of the parts are compared in
 a second round, so a passage that a third of all texts share needs no list of its places, no pairs and no single task.
 Texts are shuffled once, compressed. Equal whole texts are settled by their digest without windows.
@@ -27,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewise.llm.common import join_crowded, stored
+
 GRAM, LENGTH, HOT = 6, 20, 5000
 FIRST, SECOND, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -174,14 +177,14 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), rest.alias("rest"))
 
     seeds = rows.select("id", "text").mapInPandas(_seeds(gram, length), f"h long, id {kind}, pos int, mark int")
-    shared = seeds.groupBy("h").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where("low != high")
+    shared = stored(seeds.groupBy("h").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where("low != high").select("h", "n"))
     # the last bit of a seed tells whether very many places have it
-    matched = seeds.select("h", "id", "pos").join(shared.select("h", (F.col("n") > hot).cast("int").alias("hot")), "h").groupBy("id").agg(
+    matched = join_crowded(seeds.select("h", "id", "pos"), shared, "h", "n", "id", parts).withColumn("hot", (F.col("n") > hot).cast("int")).groupBy("id").agg(
         F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("seeds"))
 
     names = rows.select("id", text_digest().alias("th"))
-    firsts = names.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.col("id").isNull()).alias("without")).where("n > 1")
-    copies = names.join(firsts, "th").where(F.when(F.col("without"), F.col("id").isNotNull()).otherwise(F.col("id") > F.col("first"))).groupBy("id").agg(
+    firsts = stored(names.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.col("id").isNull()).alias("without")).where("n > 1"))
+    copies = join_crowded(names, firsts, "th", "n", "id", parts).where(F.when(F.col("without"), F.col("id").isNotNull()).otherwise(F.col("id") > F.col("first"))).groupBy("id").agg(
         F.collect_set("th").alias("copies"))
 
     texts = rows.withColumn("th", text_digest()).mapInPandas(_packed, f"id {kind}, rest string, th binary, packed binary")
