@@ -186,7 +186,7 @@ def _settle(row) -> tuple:
 def with_text(spans: DataFrame, parts: DataFrame, order: str) -> DataFrame:
     """Text of every candidate from its parts."""
     numbered = numbered_parts(parts, order).select("video_id", "position", "text")
-    wanted = spans.withColumn("position", F.explode(F.sequence("first", "last")))
+    wanted = spans.select("video_id", "first", "last").distinct().withColumn("position", F.explode(F.sequence("first", "last")))
     listed = wanted.join(numbered, ["video_id", "position"]).groupBy("video_id", "first", "last").agg(
         F.array_sort(F.collect_list(F.struct("position", "text"))).alias("_parts"))
     text = F.trim(F.array_join(F.transform("_parts", lambda part: part["text"]), " "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.tags import lexical_tags
@@ -21,7 +21,7 @@ def analyse(parts: DataFrame, order: str, durations: DataFrame, boundaries: Data
     """Segments of every recording with context, tags, scores and, if vectors are given, duplicate groups.
 
     ``evidence`` (video_id, id, audio and vision scores) and ``vectors`` (video_id, id, embedding) are produced elsewhere
-    and joined by the stable segment id.
+    and joined by the stable segment id. A recording without parts gets fixed windows without text.
     """
     packed = candidates.pack_candidates(parts, order)
     aligned = candidates.sentence_bounds(packed, parts, order, durations, vocab)
@@ -29,12 +29,18 @@ def analyse(parts: DataFrame, order: str, durations: DataFrame, boundaries: Data
     start, end = intervals.pad_interval(F.col("start_seconds"), F.col("end_seconds"), F.col("duration_seconds"))
     padded = texted.join(durations, "video_id").withColumns({"_s": start, "_e": end}).drop("start_seconds", "end_seconds", "duration_seconds").withColumnsRenamed(
         {"_s": "start_seconds", "_e": "end_seconds"})
-    named = padded.withColumn("id", F.sha2(F.concat_ws(":", "video_id", "first", "last"), 256)).dropDuplicates(["id"]).drop("first", "last")
+    # candidates aligned to the same range stay apart, as alternatives
+    turn = F.row_number().over(Window.partitionBy("video_id", "first", "last").orderBy("boundary_signals"))
+    again = F.when(F.col("_turn") > 1, F.col("_turn").cast("string"))  # concat_ws leaves out nulls
+    named = padded.withColumn("_turn", turn).withColumn("id", F.sha2(F.concat_ws(":", "video_id", "first", "last", again), 256)).drop("first", "last", "_turn")
     if boundaries is not None:
         snapped = intervals.snap_to_boundaries(named, boundaries, durations)
         free = F.size("boundary_signals") == 0
         named = snapped.withColumns({"start_seconds": F.when(free, F.col("snapped_start")).otherwise(F.col("start_seconds")),
                                      "end_seconds": F.when(free, F.col("snapped_end")).otherwise(F.col("end_seconds"))}).drop("snapped_start", "snapped_end", "duration_seconds")
+    silent = candidates.fixed_windows(durations.join(parts.select("video_id").distinct(), "video_id", "left_anti")).withColumns({
+        "id": F.sha2(F.concat_ws(":", "video_id", F.lit("window"), "start_seconds"), 256), "transcript": F.lit(""), "boundary_signals": F.array().cast("array<string>")})
+    named = named.unionByName(silent)
     named = cut_lineage(named)  # candidates are a stage of their own; the joins below read them several times
     window = 20.0 if mode == "extended" else 12.0
     around = intervals.attach_neighbour_text(named, parts, window, 700, item_id=order)

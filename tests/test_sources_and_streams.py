@@ -117,3 +117,39 @@ def test_queries_agree_with_their_statements_on_the_small_tables(spark):
         columns = [item[0] for item in result.description]
         want = sorted(map(repr, result.fetchall()))
         assert sorted(repr(tuple(row)) for row in frame.select(*columns).collect()) == want, name
+
+
+def test_delimited_files_keep_quoted_breaks_and_wide_rows(spark):
+    wide = [f"c{i}" for i in range(40)]
+    wide[0], wide[36] = "time", "message"
+    texts = {
+        "breaks": 'time,message,author\n5,"two\nlines, ""quoted""",Ewa\n6,a 6" nail,x\n\n7,"",y\n8,last,\n',
+        "wide": ",".join(wide) + "\n" + ",".join(["9"] + ["-"] * 35 + ["deep"] + ["-"] * 3) + "\n",
+        "plain": "1;first;Ala\r\n2;second\r\n",
+        "tabs": "3\tone\n4\t\"open to the end\n5\tstill it",
+    }
+    files = spark.createDataFrame(list(texts.items()), "video_id string, text string")
+    found = {(r.video_id, r.seconds, r.message) for r in chat_files.from_delimited_texts(files).collect()}
+    assert found == {
+        ("breaks", 5.0, 'two lines, "quoted"'), ("breaks", 6.0, 'a 6" nail'), ("breaks", 8.0, "last"), ("wide", 9.0, "deep"),
+        ("plain", 1.0, "first"), ("plain", 2.0, "second"), ("tabs", 3.0, "one"), ("tabs", 4.0, "open to the end 5 still it"),
+    }
+
+
+def test_silent_recordings_and_aligned_twins_keep_their_segments(spark):
+    from cuewise.operators import candidates
+    from cuewise.plans.analysis import analyse
+
+    # no sentence ends, so that neighbouring candidates grow to the same range
+    parts = spark.createDataFrame([("talk", k, 4.0 * k, 4.0 * k + 3.9, f"word{k} and") for k in range(10)],
+                                  "video_id string, turn int, start_seconds double, end_seconds double, text string")
+    durations = spark.createDataFrame([("talk", 45.0), ("silent", 80.0)], "video_id string, duration_seconds double")
+    aligned = candidates.sentence_bounds(candidates.pack_candidates(parts, "turn"), parts, "turn", durations)
+    assert aligned.count() > aligned.select("first", "last").distinct().count()
+    found = analyse(parts, "turn", durations).select("video_id", "id", "start_seconds", "end_seconds", "transcript").collect()
+    talk = [r for r in found if r.video_id == "talk"]
+    assert len(talk) == aligned.count() and len({r.id for r in found}) == len(found)
+    assert all(len(r.transcript.split()) == len(set(r.transcript.split()) - {"and"}) * 2 for r in talk)
+    silent = sorted((r.start_seconds, r.end_seconds, r.transcript) for r in found if r.video_id == "silent")
+    step = silent[1][0]
+    assert silent[0][0] == 0.0 and silent[-1][1] == 80.0 and all(e - s <= step for s, e, _ in silent) and not any(t for *_, t in silent)
