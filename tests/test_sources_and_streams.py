@@ -153,3 +153,23 @@ def test_silent_recordings_and_aligned_twins_keep_their_segments(spark):
     silent = sorted((r.start_seconds, r.end_seconds, r.transcript) for r in found if r.video_id == "silent")
     step = silent[1][0]
     assert silent[0][0] == 0.0 and silent[-1][1] == 80.0 and all(e - s <= step for s, e, _ in silent) and not any(t for *_, t in silent)
+
+
+@pytest.mark.parametrize(("length", "delay", "longest"), [(200.0, 6.0, 240.0), (20.0, 120.0, 120.0), (200.0, 6.0, 120.0)])
+def test_long_segments_and_delays_keep_their_reactions(spark, tmp_path, length, delay, longest):
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    spark.createDataFrame([("v", 1, length / 2, length)], "video_id string, id int, middle double, end double").select(
+        "video_id", "id", jobs.event_time(day, F.col("middle")).alias("middle_time"), jobs.event_time(day, F.col("end")).alias("end_time")).write.parquet(f"{tmp_path}/s")
+    times = [float(t) for t in range(0, 400, 5)]
+    spark.createDataFrame([("v", t, "a", "hi") for t in times], "video_id string, seconds double, author string, message string").withColumn(
+        "event_time", jobs.event_time(day, F.col("seconds"))).write.parquet(f"{tmp_path}/m")
+    streams = [spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{n}").schema).parquet(f"{tmp_path}/{n}") for n in "sm"]
+    running = jobs.delayed_reactions(*streams, delay, longest_seconds=longest).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    if length > longest:
+        with pytest.raises(Exception, match="longest_seconds"):
+            running.awaitTermination()
+        return
+    running.awaitTermination()
+    found = sorted(r.seconds for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found == [t for t in times if length / 2 + delay <= t <= length + delay + 18]
