@@ -16,10 +16,10 @@ VERDICTS = ("correct", "incorrect", "unmarked")
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Newest row per key of the table and the changes; a change wins a tie."""
+    """Newest row per key of the table and the changes; a change wins a tie, and a late one does not replace a newer row."""
     both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     columns = [name for name in table.columns if name not in keys]
-    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("_new", version)).alias("_row"))
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(version, "_new")).alias("_row"))
     return newest.select(*keys, "_row.*")
 
 

@@ -250,9 +250,10 @@ def _latest(spark, sf_dir, condition: str) -> DataFrame:
     return _events(spark, sf_dir, condition).groupBy("segment_id").agg(F.max_by(F.struct("event_id", "rating"), "event_id").alias("r")).select("segment_id", "r.*")
 
 
-@query("review_upsert", "SELECT user_id AS segment_id, coalesce(max(event_id) FILTER (event_id % 4 = 0), max(event_id) FILTER (event_id % 4 = 1)) AS event_id FROM events WHERE event_id % 4 < 2 GROUP BY 1")
+@query("review_upsert", "SELECT user_id AS segment_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def review_upsert(spark, sf_dir):
-    return feedback.upsert(_latest(spark, sf_dir, "event_id % 4 = 1"), _events(spark, sf_dir, "event_id % 4 = 0").select("segment_id", "event_id", "rating"), ["segment_id"], "event_id").select("segment_id", "event_id")
+    # odd ids are stored and even ones arrive, so about half of the changes come late
+    return feedback.upsert(_latest(spark, sf_dir, "event_id % 2 = 1"), _events(spark, sf_dir, "event_id % 2 = 0").select("segment_id", "event_id", "rating"), ["segment_id"], "event_id").select("segment_id", "event_id")
 
 
 @query("insert_ignore", "SELECT user_id AS segment_id, coalesce(max(event_id) FILTER (event_id % 4 = 1), min(event_id) FILTER (event_id % 4 = 0)) AS event_id FROM events WHERE event_id % 4 < 2 GROUP BY 1")
@@ -270,7 +271,7 @@ def external_examples_upsert(spark, sf_dir):
     rows = carriers.table(spark, sf_dir, "events").select(F.col("user_id").alias("collection_id"), F.col("event_type").alias("source"), "value", "event_id")
     stored = rows.where("event_id % 2 = 0").groupBy("collection_id", "source").agg(F.max_by(F.struct("value", "event_id"), "event_id").alias("r")).select("collection_id", "source", "r.*")
     # a batch of imports may be older or newer than what is stored: the time decides
-    merged = feedback.upsert(stored.limit(0), stored.unionByName(rows.where("event_id % 2 = 1").select(*stored.columns)), ["collection_id", "source"], "event_id")
+    merged = feedback.upsert(stored, rows.where("event_id % 2 = 1").select(*stored.columns), ["collection_id", "source"], "event_id")
     return merged.select("collection_id", "source", "value")
 
 

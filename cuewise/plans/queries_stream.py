@@ -46,7 +46,7 @@ def live_messages(spark, sf_dir) -> DataFrame:
     return rows.withColumn("event_time", jobs.event_time(started(), F.col("seconds")))
 
 
-@query("stream_chat_ingest", f"SELECT DISTINCT video_id, seconds, author, message FROM ({_NORMAL}) q")
+@query("stream_chat_ingest", f"SELECT video_id, seconds, author, message FROM ({_NORMAL}) q")
 def stream_chat_ingest(spark, sf_dir):
     lines = _json_items_of(live_table(spark, sf_dir, "events")).drop("event_id")
     return run_to_table(jobs.live_messages(lines, started()).select("video_id", "seconds", "author", "message"))
