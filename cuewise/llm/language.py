@@ -3,7 +3,7 @@
 The network reads windows of ``WINDOW`` bytes, both ways, and labels every position; a document's probabilities are the
 mean of those of all its positions, over its whole text. It is trained here, in numpy, by backpropagation through time,
 on windows of a bounded sample of labelled rows (at most ``PER_LANGUAGE`` rows for each of at most ``LANGUAGES``
-languages, those with the smallest hashes of their texts, ``VIEWS`` windows from each).
+languages, those with the smallest draws by a hash, ``VIEWS`` windows from each).
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; repeated rows are labelled alike and each
 is reported; without any labelled row everything is ``und``. The state starts anew in each window, so a text of any
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, HIDDEN = 128, 8
-PER_LANGUAGE, LANGUAGES, VIEWS = 500, 200, 6
+PER_LANGUAGE, LANGUAGES, VIEWS, DRAWN = 500, 200, 6, 4
 UNKNOWN = "und"
 Model = dict
 
@@ -194,10 +194,14 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = 3
 def training_rows(docs: DataFrame, id_column: str, text_column: str, lang_column: str, allowed: Column) -> list[tuple[bytes, str]]:
     """The bounded sample: windows at hashed places of the chosen rows' texts."""
     text, lang = F.col(text_column), F.col(lang_column)
-    rows = docs.where(allowed & lang.isNotNull() & text.isNotNull()).select(F.xxhash64(text).alias("h"), F.col(id_column).alias("i"), lang.alias("l"), text.alias("t"))
-    rows = rows.select("h", "i", "l", views_of(F.col("t")).alias("v"))
+    usable = docs.where(allowed & lang.isNotNull() & text.isNotNull())
+    counts = usable.groupBy(lang.alias("l")).agg(F.count("*").alias("many")).orderBy("l").limit(LANGUAGES)
+    # a row's draw is even between 0 and 1; the share that is ranked holds about DRAWN times the rows that stay, however large the table is
+    drawn = F.shiftrightunsigned(F.xxhash64(text, F.col(id_column)), 11) / F.lit(float(1 << 53))
+    rows = usable.select(drawn.alias("h"), F.col(id_column).alias("i"), lang.alias("l"), text.alias("t")).join(F.broadcast(counts), "l")
+    rows = rows.where(F.col("h") * F.col("many") < DRAWN * PER_LANGUAGE).select("h", "i", "l", views_of(F.col("t")).alias("v"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).where(F.col("n") <= PER_LANGUAGE)
-    kept = first.groupBy("l").agg(F.collect_list(F.struct("n", "v")).alias("rows")).orderBy("l").limit(LANGUAGES).collect()
+    kept = first.groupBy("l").agg(F.collect_list(F.struct("n", "v")).alias("rows")).orderBy("l").collect()
     return [(v.encode("utf-8", "surrogatepass"), row["l"]) for row in kept for item in sorted(row["rows"], key=lambda x: x["n"]) for v in item["v"]]
 
 
