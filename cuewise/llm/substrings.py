@@ -9,10 +9,11 @@ place of its own text, has it too. Neighbouring repeats merge into maximal ones
 Rows of an anchor or of a whole text that very many have are dealt out by id before they meet its facts.
 Windows whose seed is shared by more than ``HOT`` places are dealt out by id as well, and the earliest of the parts are compared in
 a second round, so a passage that a third of all texts share needs no list of its places, no pairs and no single task.
-Texts are shuffled once, compressed. Equal whole texts are settled by their digest without windows.
+Texts are shuffled once, compressed. Whole texts of the same words, however these are spaced, are settled by their digest
+without windows.
 
 Defined cases: a null or blank text has no words and nothing is removed; texts of fewer than ``length`` words lose nothing;
-rows with equal id and text count as one document and are both reported; rows with equal id and different texts are
+rows with equal id and words count as one document and are both reported; rows with equal id and different words are
 ordered by digest; a null id comes first. No rows give no rows. Other columns may have any name.
 """
 
@@ -72,6 +73,11 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def text_digest(words: list[bytes]) -> bytes:
+    """Digest of the words joined by one space: the one measure of what a copy is."""
+    return hashlib.md5(b" ".join(words)).digest()
+
+
 def _seeds(gram: int, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -85,8 +91,8 @@ def _seeds(gram: int, length: int):
                 ids += [key] * len(at)
                 places.append(at)
                 found.append(grams[at])
-                # the same place of an equal text has the same mark
-                marks.append((at.astype(np.uint64) * FINAL + np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words)))) >> np.uint64(33))
+                # the same place of a text of the same words has the same mark
+                marks.append((at.astype(np.uint64) * FINAL + np.uint64(int.from_bytes(text_digest(words)[:8], "little"))) >> np.uint64(33))
             if ids:
                 yield pd.DataFrame({"h": np.concatenate(found).view(np.int64), "id": ids, "pos": np.concatenate(places).astype(np.int32), "mark": np.concatenate(marks).astype(np.int32)})
     return run
@@ -96,7 +102,12 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     squeeze = zstandard.ZstdCompressor(1).compress
     for frame in batches:
         raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in frame["text"]]
-        yield frame.drop(columns="text").assign(packed=[None if r is None else squeeze(r) for r in raw])
+        yield frame.drop(columns="text").assign(th=[text_digest((r or b"").split()) for r in raw], packed=[None if r is None else squeeze(r) for r in raw])
+
+
+def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        yield frame[["id"]].assign(th=[text_digest(words_of(t)) for t in frame["text"]])
 
 
 def _mark(digest: bytes) -> int:
@@ -160,10 +171,6 @@ def _settle(length: int, with_text: bool):
     return run
 
 
-def text_digest():
-    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-
-
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM,
                    with_text: bool = False, hot: int = HOT, parts: int = 64) -> DataFrame:
     """(id, rest, n_words, n_removed, kept_sha256[, kept_text]) of every row; ``rest`` is a struct of all other columns.
@@ -182,12 +189,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     matched = join_crowded(seeds.select("h", "id", "pos"), shared, "h", "n", "id", parts).withColumn("hot", (F.col("n") > hot).cast("int")).groupBy("id").agg(
         F.collect_list(F.col("pos") * 2 + F.col("hot")).alias("seeds"))
 
-    names = rows.select("id", text_digest().alias("th"))
+    names = rows.select("id", "text").mapInPandas(_names, f"id {kind}, th binary")
     firsts = stored(names.groupBy("th").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.col("id").isNull()).alias("without")).where("n > 1"))
     copies = join_crowded(names, firsts, "th", "n", "id", parts).where(F.when(F.col("without"), F.col("id").isNotNull()).otherwise(F.col("id") > F.col("first"))).groupBy("id").agg(
         F.collect_set("th").alias("copies"))
 
-    texts = rows.withColumn("th", text_digest()).mapInPandas(_packed, f"id {kind}, rest string, th binary, packed binary")
+    texts = rows.mapInPandas(_packed, f"id {kind}, rest string, th binary, packed binary")
     windows = _with_facts(texts, matched, copies, "seeds").mapInPandas(_windows(gram, length), f"h long, g int, hot boolean, id {kind}, place long")
     # windows of crowded seeds are dealt out by id too; the earliest of each part then meet in a second, small round
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(-1)
