@@ -10,7 +10,8 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from cuewise.llm import covertree, forest, language, lattice, licenses, packing, secrets, simhash, substrings, unigram
+import corpus_pipeline
+from cuewise.llm import covertree, forest, language, lattice, licenses, nearcopies, packing, secrets, simhash, substrings, unigram
 
 SCHEMA = "doc_id long, text string, lang string, id string, rest string, fp int, h string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -79,6 +80,44 @@ def test_crowded_buckets_are_compared_in_blocks(spark):
     assert got == groups_of(values, lambda a, b: (a ^ b).bit_count() <= 3)
 
 
+def shingle_set(text):
+    words = WORD.findall((text or "").encode().lower())
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("weight", [nearcopies.WEIGHT, 400])
+def test_near_copies_by_shingle_similarity(spark, weight):
+    rng = random.Random(6)
+    texts = corpus(9)
+    for _ in range(12):  # groups of texts with a few changed words, from sure copies to pairs under the bound
+        base = [f"n{rng.randrange(400)}" for _ in range(rng.randint(60, 200))]
+        for changes in (0, 1, 2, 3, 5):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = f"c{rng.randrange(1000)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    frame = table(spark, texts).withColumn("key", F.col("doc_id") * 3)
+    got = sorted(r["key"] // 3 for r in nearcopies.first_rows(frame, weight=weight).collect())
+    want = groups_of([shingle_set(t) for t in texts], similar)
+    assert got == sorted(set(want)) and len(got) < len(texts) - 20
+    assert nearcopies.first_rows(frame.where("false")).count() == 0
+
+
+def test_pipeline_finds_near_copies(spark):
+    texts = []
+    for group in range(8):
+        words = [f"p{group}_{k}" for k in range(200)]
+        texts += [" ".join(words), " ".join(f"x{w}" if k % 50 == 25 else w for k, w in enumerate(words)), " ".join(words[:100])]
+    frame = table(spark, texts)
+    assert similar(shingle_set(texts[0]), shingle_set(texts[1])) and not similar(shingle_set(texts[0]), shingle_set(texts[2]))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == [k for k in range(24) if k % 3 != 1]
+
+
 def removed_words(rows, length=20):
     seen, out = set(), []
     for text in rows:
