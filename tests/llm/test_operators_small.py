@@ -118,6 +118,14 @@ def test_pipeline_finds_near_copies(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == [k for k in range(24) if k % 3 != 1]
 
 
+def test_pipeline_keeps_rows_without_id_and_other_texts_of_an_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    frame = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1] + " tail"), (1, texts[2]), (1, texts[3]), (2, texts[3]), (2, texts[4]), (3, texts[0]), (4, texts[5]), (4, texts[5])],
+                                  "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()))
+    assert [k for k, _ in got] == [0, 0, 1, 1, 2, 4] and sorted(t.removesuffix(" tail") for _, t in got) == texts
+
+
 def removed_words(rows, length=20):
     seen, out = set(), []
     for text in rows:
