@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 WINDOW, HIDDEN = 128, 8
 PER_LANGUAGE, LANGUAGES, VIEWS, DRAWN = 500, 200, 6, 4
+CALIBRATION, LEAST_ROWS, DEVIATIONS, NEAR_CHANCE = 4000, 30, 6.0, 0.25
 UNKNOWN = "und"
 Model = dict
 
@@ -84,10 +85,10 @@ def probabilities(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def document_probabilities(model: Model, texts: list[bytes], block: int = 2048) -> np.ndarray:
-    """(text, language) means over all positions of each text."""
+def document_probabilities(model: Model, texts: list[bytes], block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(text, language) means over all positions of each text, and the mean of each position's highest probability."""
     bytes_, size, owner = cut(texts)
-    total = np.zeros((len(texts), len(model["b"])))
+    total, local = np.zeros((len(texts), len(model["b"]))), np.zeros(len(texts))
     for begin in range(0, len(size), block):
         part = size[begin:begin + block]
         p = probabilities(position_scores(model, np.ascontiguousarray(bytes_[:, begin:begin + block]), part))
@@ -95,7 +96,9 @@ def document_probabilities(model: Model, texts: list[bytes], block: int = 2048)
             p *= (np.arange(WINDOW)[:, None] < part)[:, None, :]
         sums = p.sum(axis=0, dtype=np.float64).T
         np.add.at(total, owner[begin:begin + block], sums)
-    return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
+        np.add.at(local, owner[begin:begin + block], p.max(axis=1).sum(axis=0, dtype=np.float64))
+    size = np.maximum(1, np.array([len(t) for t in texts]))
+    return total / size[:, None], local / size
 
 
 def start(languages: int, hidden: int, seed: int = 7) -> Model:
@@ -215,20 +218,55 @@ def fit(docs: DataFrame, allowed: Column, id_column: str = "doc_id", text_column
 
 
 def predict(docs: DataFrame, model: Model, keep: list, text_column: str = "text") -> DataFrame:
-    """``keep`` columns and ``found``: struct of lang_pred and score, the pooled probability of that language."""
-    @F.pandas_udf("lang_pred string, score double")
+    """``keep`` columns and ``found``: struct of lang_pred, score, the pooled probability of that language, local, the mean
+    of each position's highest probability, and has_letter."""
+    @F.pandas_udf("lang_pred string, score double, local double, has_letter boolean")
     def label(texts: pd.Series) -> pd.DataFrame:
         values = texts.tolist()
-        out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(values), "score": 0.0})
+        out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(values), "score": 0.0, "local": 0.0, "has_letter": False})
+        good = [k for k, t in enumerate(values) if t is not None and any(map(str.isalpha, t))]
+        out.loc[good, "has_letter"] = True
         if not model["names"]:
             return out
-        good = [k for k, t in enumerate(values) if t is not None and any(map(str.isalpha, t))]
         for begin in range(0, len(good), 512):
             part = good[begin:begin + 512]
-            p = document_probabilities(model, [values[k].encode("utf-8", "surrogatepass") for k in part])
+            p, local = document_probabilities(model, [values[k].encode("utf-8", "surrogatepass") for k in part])
             best = p.argmax(axis=1)
             out.loc[part, "lang_pred"] = [model["names"][b] for b in best]
             out.loc[part, "score"] = np.clip(p[np.arange(len(part)), best], 0.0, 1.0)
+            out.loc[part, "local"] = local
         return out
 
     return docs.select(*keep, label(F.col(text_column)).alias("found"))
+
+
+def length_class(text: Column) -> Column:
+    return F.floor(F.log2(F.octet_length(text) + F.lit(1))).cast("int")
+
+
+def junk_bounds(docs: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang") -> dict[int, float]:
+    """For each class of text length (powers of two) the local probability that no clean text falls under: ``DEVIATIONS``
+    standard deviations under the mean of the labelled rows of that class, about ``CALIBRATION`` of which are drawn by a
+    hash, and at most ``NEAR_CHANCE`` of the way from chance to that mean, as texts that switch languages are a little less
+    sure. Classes of fewer than ``LEAST_ROWS`` such rows have no bound.
+
+    The pooled probability is no such measure: a clean text of several languages has a low one.
+    """
+    text = F.col(text_column)
+    labelled = docs.where(F.col(lang_column).isNotNull() & text.isNotNull())
+    if not model["names"]:
+        return {}
+    many = max(1, labelled.count())
+    drawn = labelled.where(F.shiftrightunsigned(F.xxhash64(text, F.lit(CALIBRATION)), 11) < F.lit(int((1 << 53) * min(1.0, CALIBRATION / many))))
+    scored = predict(drawn.select(text.alias("text")), model, [length_class(F.col("text")).alias("size")], "text").where("found.has_letter")
+    rows = scored.groupBy("size").agg(F.avg("found.local").alias("mean"), F.stddev_samp("found.local").alias("dev"), F.count("*").alias("n")).collect()
+    chance = 1 / len(model["names"])
+    return {r["size"]: min(r["mean"] - DEVIATIONS * r["dev"], chance + NEAR_CHANCE * (r["mean"] - chance)) for r in rows if r["n"] >= LEAST_ROWS}
+
+
+def not_junk(bounds: dict[int, float], text_column: str = "text") -> Column:
+    """Of rows of ``predict``: whether the text has a letter and is not under the bound of its length class."""
+    least = F.lit(0.0)
+    for size, bound in sorted(bounds.items()):
+        least = F.when(length_class(F.col(text_column)) == size, F.lit(float(bound))).otherwise(least)
+    return F.col("found.has_letter") & (F.col("found.local") >= least)

@@ -211,6 +211,19 @@ def test_language_gradient_and_edge_cases(spark):
     assert language.predict(frame, language.fit(frame, F.lit(True)), ["doc_id"]).where("found.lang_pred != 'und'").count() == 0
 
 
+def test_pipeline_keeps_clean_texts_of_any_language_mix(spark):
+    rng = random.Random(12)
+    sounds = {"a": "aeb ", "i": "iok ", "u": "usz ", "y": "ymn "}
+    say = lambda lang, size: "".join(rng.choice(sounds[lang]) for _ in range(size)) + sounds[lang][0]
+    rows = [(k, say(lang, rng.randint(20, 200)), lang) for k, lang in enumerate("aiuy" * 60)]
+    mixed = [(1000 + k, " ".join(say(lang, 60) for lang in "aiuy"), None) for k in range(5)]
+    frame = spark.createDataFrame(rows + mixed + [(2000, "12 34 !", None), (2001, None, None), (2002, "", None), (2003, "é", None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, frame, "").collect()}
+    assert kept >= {k for k, _, _ in rows + mixed} | {2003} and not kept & {2000, 2001, 2002}
+    bare = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, bare, "").collect()} == {k for k, _, _ in rows + mixed} | {2003}
+
+
 def test_packing(spark):
     texts = [None, "", *["x" * k for k in (1, 5, 900, 1024, 3000, 40000, 17000, 2, 2)]]
     rows = packing.best_fit(table(spark, texts), F.octet_length("text"), batch=4).collect()
