@@ -177,6 +177,24 @@ def test_secrets(spark):
     assert rows[3]["redacted"] is None and key not in rows[0]["redacted"] and rows[-1]["spans"] == ""
 
 
+def test_secret_sample_has_distinct_texts_with_matches(spark, monkeypatch):
+    copies = [f"copy number {k}" for k in range(3)] * 40
+    texts = copies + [f"plain {k}" for k in range(60)] + [f"see token={hashlib.md5(bytes([k])).hexdigest()} here" for k in range(3)]
+    monkeypatch.setattr(secrets, "train", lambda chains: chains)
+    monkeypatch.setattr(secrets, "labelled_chains", lambda chosen: chosen)
+    chosen = secrets.fit(table(spark, texts), sample=20)
+    assert len(chosen) == len(set(chosen)) == 13 and set(texts[-3:]) <= set(chosen)
+
+
+def test_parts_of_a_field_span_outside_patterns_stay(monkeypatch):
+    key = "0123456789abcdef01234567"
+    text = f"Zx81Qw7Lp2 {key} Yt55Rr90Kk"
+    monkeypatch.setattr(secrets, "field_spans", lambda text, model: [(0, len(text))])
+    base, spans = secrets.all_spans(text, None)
+    assert base == [(11, 2, 35)] and spans == [(0, 3, 10), (11, 2, 35), (36, 3, 46)]
+    assert secrets.all_spans(key, None)[1] == [(0, 2, 24)]
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(2)
     import itertools
