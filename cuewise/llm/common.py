@@ -15,11 +15,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back: it is reused without being computed again, has no
     lineage, and survives lost executors."""
     spark = frame.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stored")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

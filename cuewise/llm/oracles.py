@@ -88,8 +88,61 @@ FROM texts t LEFT JOIN base b ON t.doc_id = b.doc_id LEFT JOIN met m ON t.doc_id
 """
 
 
+def merkle_manifest(levels: int = 8) -> str:
+    """Level by level over all nodes of a tree; ``levels`` of runs of 8 suffice for 8^levels rows."""
+    def field(name: str, column: str | None = None) -> str:
+        value = column or f"CAST({name} AS VARCHAR)"
+        return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+    fields = [field(n) for n in ("doc_id", "source", "lang", "n_chars")]
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    steps = []
+
+    def climb(name: str) -> None:
+        """Tables {name}0.. of (tree, i, digest, left, right, m), each from the runs of the one before."""
+        for k in range(levels + 1):
+            source = f"{name}_start" if k == 0 else f"""(SELECT tree, CASE WHEN m > 1 THEN i // 8 ELSE i END AS i,
+                CASE WHEN any_value(m) > 1 THEN sha256(string_agg(digest, '' ORDER BY i)) ELSE any_value(digest) END AS digest
+                FROM {name}{k - 1} GROUP BY tree, CASE WHEN m > 1 THEN i // 8 ELSE i END, m)"""
+            run = "PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN"
+            steps.append(f"""{name}{k} AS MATERIALIZED (SELECT tree, i, digest, count(*) OVER (PARTITION BY tree) AS m,
+              coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+              coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {source})""")
+
+    def walk(name: str, before: str) -> str:
+        """Carry (row, tree, i, proof, folded) of ``before`` through the levels of its tree."""
+        for k in range(levels):
+            steps.append(f"""{name}_walk{k} AS MATERIALIZED (SELECT w.row, w.tree, CASE WHEN n.m > 1 THEN w.i // 8 ELSE w.i END AS i,
+              w.proof || CASE WHEN n.m > 1 THEN n.l || n.r ELSE '' END AS proof,
+              CASE WHEN n.m > 1 THEN sha256(n.l || w.folded || n.r) ELSE w.folded END AS folded
+              FROM {before} w JOIN {name}{k} n ON w.tree = n.tree AND w.i = n.i)""")
+            before = f"{name}_walk{k}"
+        return before
+
+    steps.append("""crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)""")
+    steps.append("""marked AS (SELECT d.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+      lambda c, a: xor(c >> 8, t[(xor(c, a) & 255) + 1])), 4294967295) % 3 = 0 AS tampered FROM documents d, crc_table)""")
+    steps.append(f"""leaves AS MATERIALIZED (SELECT doc_id, coalesce('-' || lang, '') AS tree, sha256({' || '.join([*fields, field('text')])}) AS leaf,
+      CASE WHEN tampered THEN sha256({' || '.join([*fields, field('text', lowered)])}) END AS changed FROM marked)""")
+    steps.append("""rows AS MATERIALIZED (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves)""")
+    steps.append("leaf_start AS (SELECT tree, i, leaf AS digest FROM rows)")
+    climb("leaf")
+    steps.append("row_start AS (SELECT row, tree, i, '' AS proof, coalesce(changed, leaf) AS folded FROM rows)")
+    climbed = walk("leaf", "row_start")
+    steps.append(f"subroots AS MATERIALIZED (SELECT tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS i FROM leaf{levels})")
+    steps.append("tree_start AS (SELECT '' AS tree, i, digest FROM subroots)")
+    climb("tree")
+    steps.append(f"top_start AS (SELECT w.row, '' AS tree, s.i, w.proof, w.folded FROM {climbed} w JOIN subroots s ON w.tree = s.name)")
+    done = walk("tree", "top_start")
+    return f"""WITH {', '.join(steps)}
+SELECT r.doc_id, r.leaf, s.digest AS subroot, t.digest AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = t.digest AS verified
+FROM rows r JOIN {done} w ON r.row = w.row JOIN subroots s ON r.tree = s.name, tree{levels} t"""
+
+
 ORACLES: dict[str, str] = {
     "op6_license_scan": license_scan(),
     "op7_exact_top_k": EXACT_TOP_K,
     "op10_substring_dedup": REPEATED_PASSAGES,
+    "op13_merkle_manifest": merkle_manifest(),
 }

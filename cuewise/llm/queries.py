@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm import covertree, forest, language, lattice, licenses, packing, secrets, simhash, substrings, unigram
+from cuewise.llm import covertree, forest, language, lattice, licenses, manifest, packing, secrets, sharding, simhash, substrings, unigram, whitening
 from cuewise.llm.common import read_table
 from cuewise.llm.oracles import ORACLES  # noqa: F401  (read by the entry point)
 
@@ -60,6 +60,27 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(read_table(spark, sf_dir, "embeddings"), lambda x: F.floor(F.lit(256.0) * x), lambda i: i % 50 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under the law ``bytes``: sizes of the shards are near equal."""
+    placed = sharding.shard(read_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"),
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "part", F.col("version").alias("map_version"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree per language; the witnesses are tried on lower-cased texts for a third of the ids."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(name) for name in docs.columns]
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    rows = manifest.manifest(docs, F.col("doc_id"), F.col("lang"), fields, [*fields[:-1], manifest.lower_ascii(F.col("text"))], tampered)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
+                       (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_token_counts, op3_nearest_neighbours, op4_simhash, op5_sentencepiece, op6_license_scan, op7_exact_top_k,
-    op8_best_fit_packing, op9_secret_scan, op10_substring_dedup)}
+    op8_best_fit_packing, op9_secret_scan, op10_substring_dedup, op11_whitening, op12_sharding, op13_merkle_manifest)}
