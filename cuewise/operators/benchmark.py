@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.operators.ordering import exact_quantiles, ordered_index
+from cuewise.operators.json_walk import kind_of, pin
 
 SCHEMA_VERSION = 1
 # --- fixed values: gate limits, allowed codes, feature ranges and private field names
@@ -194,5 +195,72 @@ def validate(records: DataFrame, private_keys: list[str] | None = None) -> DataF
     return records.withColumn("errors", listed)
 
 
+def is_metadata(record: Column) -> Column:
+    return F.coalesce(F.try_variant_get(record, "$.type", "string") == "metadata", F.lit(False))
+
+
+def with_record_errors(frame: DataFrame, record: str, private: str) -> DataFrame:
+    """Add ``errors``: why the JSON value in ``record`` must not be used; empty if it may. ``private`` lists the private field
+    names inside it, or is null. Other reasons are given in the order of the checks, each as often as it has a cause."""
+    value = F.col(record)
+
+    def field(name: str) -> Column:
+        return F.try_variant_get(value, f"$.{name}", "variant")
+
+    def kind(name: str) -> Column:
+        return F.col(f"_kind_{name}")
+
+    def text(name: str) -> Column:
+        return F.when(kind(name) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
+
+    def number(name: str) -> Column:
+        return F.when(kind(name) == "NUMBER", F.try_variant_get(value, f"$.{name}", "double"))
+
+    # types are looked up once per row
+    names = ("schema_version", "sample_id", "group_id", "decision", "rejection_code", "predicted_score", "features", "tags", "tag_feedback", "expected_reading")
+    pinned = pin(frame, **{f"_kind_{name}": F.coalesce(kind_of(field(name)), F.lit("ABSENT")) for name in names},
+                 _features=F.map_entries(F.try_variant_get(value, "$.features", "map<string,variant>")))
+    version = (F.when(kind("schema_version") == "NUMBER", F.floor(number("schema_version")) == SCHEMA_VERSION)
+               .when(kind("schema_version") == "STRING", F.trim(text("schema_version")).try_cast("int") == SCHEMA_VERSION)
+               .when(kind("schema_version") == "BOOLEAN", F.try_variant_get(value, "$.schema_version", "boolean")))
+    code, code_kind = text("rejection_code"), kind("rejection_code")
+    no_code = (code_kind.isin("ABSENT", "VOID") | (code_kind == "NUMBER") & (number("rejection_code") == 0)
+               | (code_kind == "BOOLEAN") & ~F.try_variant_get(value, "$.rejection_code", "boolean")
+               | code_kind.isin("ARRAY", "OBJECT") & F.to_json(field("rejection_code")).isin("[]", "{}"))
+    checks = [(F.col(private).isNotNull(), F.concat(F.lit("private fields: "), F.col(private))),
+              (~F.coalesce(version, F.lit(False)), "unsupported schema version")]
+    checks += [(kind(name) == "ABSENT", f"missing {name}") for name in ("sample_id", "group_id", "decision", "features", "predicted_score")]
+    checks += [((kind(name) != "ABSENT") & (F.coalesce(F.trim(text(name)), F.lit("")) == ""), f"{name} must be a non-empty string") for name in ("sample_id", "group_id")]
+    checks += [
+        ((kind("decision") != "ABSENT") & ~F.coalesce(text("decision").isin("accepted", "rejected"), F.lit(False)), "decision must be accepted or rejected"),
+        (~no_code & ~F.coalesce(code.isin(*REJECTION_CODES), F.lit(False)), "unsupported rejection code"),
+        ((kind("predicted_score") != "ABSENT") & ~F.coalesce(number("predicted_score").between(1, 99), F.lit(False)), "predicted_score must be between 1 and 99"),
+        (~kind("features").isin("ABSENT", "OBJECT"), "features must be an object"),
+        (~kind("tags").isin("ABSENT", "ARRAY") | F.exists(F.try_variant_get(value, "$.tags", "array<variant>"), lambda tag: F.coalesce(kind_of(tag), F.lit("VOID")) != "STRING"),
+         "tags must be a list of strings"),
+        (~kind("tag_feedback").isin("ABSENT", "OBJECT") | F.exists(F.map_values(F.try_variant_get(value, "$.tag_feedback", "map<string,variant>")), lambda verdict: ~F.coalesce(
+            (kind_of(verdict) == "STRING") & F.try_variant_get(verdict, "$", "string").isin("correct", "incorrect"), F.lit(False))), "tag verdicts must be correct or incorrect"),
+        (~kind("expected_reading").isin("ABSENT", "VOID", "BOOLEAN"), "expected_reading must be true, false or null"),
+    ]
+    listed = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(message) if isinstance(message, str) else message) for bad, message in checks]))
+    limits = F.create_map(*[F.lit(part) if isinstance(part, str) else part for name, (low, high) in FEATURE_RANGES.items()
+                            for part in (name, F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(f"{low} and {high}").alias("said")))])
+
+    def judge(entry: Column) -> Column:
+        name, limit = entry["name"], entry["limit"]
+        amount = entry["amount"]
+        return (F.when(limit.isNull(), F.concat(F.lit("unknown numeric feature: "), name))
+                .when(amount.isNull() | F.isnan(amount) | (F.abs(amount) == float("inf")), F.concat(F.lit("feature "), name, F.lit(" must be a finite number")))
+                .when(~amount.between(limit["low"], limit["high"]), F.concat(F.lit("feature "), name, F.lit(" must be between "), limit["said"])))
+
+    read = F.transform("_features", lambda entry: F.struct(
+        entry["key"].alias("name"), F.when(kind_of(entry["value"]) == "NUMBER", F.try_variant_get(entry["value"], "$", "double")).alias("amount"),
+        F.try_element_at(limits, entry["key"]).alias("limit")))
+    about_features = F.array_compact(F.transform(read, judge))
+    whole = F.concat(listed, F.coalesce(about_features, F.array().cast("array<string>")))
+    errors = F.when(value.isNull(), F.array(F.lit("invalid JSON"))).when(kind_of(value) != "OBJECT", F.array(F.lit("a record must be an object"))).otherwise(whole)
+    return pin(pinned, errors=errors).drop("_features", *[f"_kind_{name}" for name in names])
+
+
 def repeated_ids(records: DataFrame) -> DataFrame:
     return records.groupBy("sample_id").agg(F.count("*").alias("copies")).where("copies > 1")

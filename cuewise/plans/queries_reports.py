@@ -10,6 +10,7 @@ from cuewise.operators import benchmark, stats
 from cuewise.plans import carriers
 from cuewise.plans.carriers import CTE, NEEDS, cte
 from cuewise.plans.registry import query
+from cuewise.sources import benchmark_files
 
 CTE["br"] = "SELECT *, row_number() OVER (ORDER BY predicted_score DESC, sample_id) AS rank FROM bench"
 NEEDS["br"] = ("bench",)
@@ -141,6 +142,41 @@ def bench_load_checks(spark, sf_dir):
     return benchmark.repeated_ids(doubled)
 
 
+# What is wrong with the JSON line of a record, by doc_id % 23: the member that is replaced, added or (null) left out, and the reason due.
+_FLAWS = {
+    0: ("note", '{"deep": [1, {"transcript": null}]}', "private fields: transcript"),
+    1: ("path", '"x", "features": {"quality": 5}, "more": [[{"embedding": []}]]', "private fields: embedding, path"),
+    2: ("features", None, "missing features"), 3: ("features", "[1]", "features must be an object"),
+    4: ("features", '{"quality": true}', "feature quality must be a finite number"), 5: ("features", '{"quality": "5"}', "feature quality must be a finite number"),
+    6: ("tags", '["a", 1]', "tags must be a list of strings"), 7: ("tags", "null", "tags must be a list of strings"),
+    8: ("expected_reading", '"yes"', "expected_reading must be true, false or null"), 9: ("predicted_score", "true", "predicted_score must be between 1 and 99"),
+    10: ("predicted_score", None, "missing predicted_score"), 11: ("group_id", '" "', "group_id must be a non-empty string"), 12: ("decision", None, "missing decision"),
+    13: ("tag_feedback", '{"a": "correct", "b": "maybe"}', "tag verdicts must be correct or incorrect"), 14: ("schema_version", '"1"', None),
+    15: ("schema_version", "2", "unsupported schema version"), 16: ("features", '{"odd": 1, "vision": 3.5}', "unknown numeric feature: odd"), 17: ("rejection_code", "0", None),
+    18: ("features", '{"reading_likelihood": 1.5}', "feature reading_likelihood must be between 0 and 1"), 19: ("note", "{", "invalid JSON"),
+    20: ("group_id", '5, "tags": "x"', "group_id must be a non-empty string; tags must be a list of strings"),
+}
+_FLAW_SQL = " ".join(f"WHEN {k} THEN '{reason}'" for k, (_, _, reason) in _FLAWS.items() if reason)
+
+
+@query("bench_record_walk", cte("bench") + f"""SELECT CASE WHEN k <> 19 THEN sample_id END AS sample_id,
+  CASE WHEN k = 21 AND count(*) OVER (PARTITION BY sample_id) > 1 THEN 'duplicate sample_id' ELSE coalesce(CASE k {_FLAW_SQL} END, '') END AS errors
+  FROM (SELECT doc_id % 23 AS k, CASE WHEN doc_id % 23 = 21 THEN 'twin-' || CAST(doc_id // 69 AS VARCHAR) ELSE sample_id END AS sample_id FROM bench) q""")
+def bench_record_walk(spark, sf_dir):
+    """Every record as a JSON line, most with a flaw; all reasons found in the lines."""
+    rows, k = carriers.bench_records(spark, sf_dir), F.col("doc_id") % 23
+    members = {"schema_version": F.lit("1"), "sample_id": F.when(k == 21, F.concat(F.lit('"twin-'), F.floor(F.col("doc_id") / 69).cast("string"), F.lit('"'))).otherwise(F.format_string('"%s"', "sample_id")),
+               "predicted_score": F.col("predicted_score").cast("string"), "features": F.concat(F.lit('{"reading_likelihood": '), F.col("reading_likelihood").cast("string"), F.lit("}")),
+               **{name: F.format_string('"%s"', name) for name in ("group_id", "decision", "rejection_code")}}
+    for name in ("note", "path", "tags", "expected_reading", "tag_feedback"):
+        members[name] = F.lit(None).cast("string")
+    for role, (name, value, _) in _FLAWS.items():
+        members[name] = F.when(k == role, F.lit(value).cast("string")).otherwise(members[name])
+    members["features"] = F.when(k == 1, F.lit(None)).otherwise(members["features"])  # stands in the text of role 1
+    lines = rows.select(F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{name}": '), value) for name, value in members.items()]), F.lit("}")).alias("value"))
+    return benchmark_files.check_lines(lines).select("sample_id", F.array_join("errors", "; ").alias("errors"))
+
+
 # ---- statistics -------------------------------------------------------------------------------------------------------
 MACHINE = ["tags", *stats.SCORES.values(), "reading_likelihood"]
 CTE["facts0"] = """

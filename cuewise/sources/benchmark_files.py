@@ -13,10 +13,12 @@ from pyspark.sql.types import StringType
 from cuewise.functions import scores
 from cuewise.functions.tags import canonical_tags
 from cuewise.functions.text import half_even
-from cuewise.operators.benchmark import FEATURE_RANGES, PRIVATE_FIELDS, SCHEMA_VERSION, repeated_ids, validate
+from cuewise.operators.benchmark import FEATURE_RANGES, PRIVATE_FIELDS, SCHEMA_VERSION, is_metadata, repeated_ids, with_record_errors
+from cuewise.session import cut_lineage
+from cuewise.operators.json_walk import named_keys
 
-SCHEMA = """type string, schema_version int, sample_id string, group_id string, moment_group_id string, decision string, rejection_code string,
-analysis_mode string, duration_bucket string, profiles array<string>, predicted_score double, expected_reading boolean, tags array<string>,
+SCHEMA = """type string, schema_version int, sample_id string, group_id string, moment_group_id string, decision string, rejection_code string, \
+analysis_mode string, duration_bucket string, profiles array<string>, predicted_score double, expected_reading boolean, tags array<string>, \
 tag_feedback map<string,string>, features map<string,double>"""
 
 
@@ -65,11 +67,49 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
+def check_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(line, record, sample_id, errors, is_metadata) of JSON lines, blank ones skipped: every reason why a record must not be used.
+
+    Lines are numbered in the order of the file parts. Field types are judged on the JSON itself, so a number in quotes or a
+    boolean does not pass as a number, and private field names are refused at any depth.
+    """
+    record = F.try_parse_json(F.col(value))
+    numbered = cut_lineage(lines.where(F.trim(F.col(value)) != "").select(F.monotonically_increasing_id().alias("line"), record.alias("record")))
+    leaked = named_keys(numbered.where(~is_metadata(F.col("record"))), "line", "record", PRIVATE_FIELDS)
+    # at most as many names as there are private fields
+    private = leaked.groupBy("line").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("_private"))
+    judged = with_record_errors(numbered.join(private, "line", "left"), "record", "_private").drop("_private")
+    shaped = judged.select("line", "record", F.try_variant_get("record", "$.sample_id", "string").alias("sample_id"), "errors",
+                           is_metadata(F.col("record")).alias("is_metadata"))
+    counted = shaped.where(~F.col("is_metadata") & F.col("sample_id").isNotNull())
+    repeated = repeated_ids(counted).select("sample_id", F.lit(True).alias("_repeated"))
+    return shaped.join(repeated, "sample_id", "left").withColumn("errors", F.when(
+        F.col("is_metadata"), F.array().cast("array<string>")).when(F.col("_repeated"), F.array_append("errors", F.lit("duplicate sample_id"))).otherwise(F.col("errors"))).drop("_repeated")
+
+
+def typed(checked: DataFrame) -> DataFrame:
+    """Columns of checked records."""
+    fields = [field.split(" ", 1) for field in SCHEMA.replace("\n", " ").split(", ")]
+    return checked.select(*[F.try_variant_get("record", f"$.{name}", kind).alias(name) for name, kind in fields if name != "type"])
+
+
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Metadata line, valid records and refused records (invalid or with a repeated id)."""
-    lines = spark.read.schema(SCHEMA).json(path)
-    checked = validate(lines.where("type IS NULL OR type <> 'metadata'").drop("type"))
-    repeated = repeated_ids(checked).select("sample_id", F.lit(True).alias("_repeated"))
-    marked = checked.join(repeated, "sample_id", "left").withColumn(
-        "errors", F.when(F.col("_repeated"), F.array_append("errors", F.lit("duplicate sample_id"))).otherwise(F.col("errors"))).drop("_repeated")
-    return lines.where("type = 'metadata'"), marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0)
+    """Metadata lines, valid records and refused records (``line``, ``record`` and ``errors``) of a benchmark file."""
+    checked = cut_lineage(check_lines(spark.read.text(path)))
+    records = checked.where("NOT is_metadata")
+    return (checked.where("is_metadata").select("line", "record"), typed(records.where(F.size("errors") == 0)),
+            records.where(F.size("errors") > 0).select("line", "sample_id", "record", "errors"))
+
+
+def load_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Metadata and records of a benchmark file that must be in order as a whole: any refused record, a second metadata line or
+    a file without records is an error."""
+    metadata, records, refused = read_records(spark, path)
+    first = refused.orderBy("line").limit(1).collect()
+    if first:
+        raise ValueError(f"benchmark record {first[0]['sample_id']}: {'; '.join(first[0]['errors'])}")
+    if metadata.limit(2).count() > 1:
+        raise ValueError("a benchmark may have one metadata line only")
+    if records.isEmpty():
+        raise ValueError("a benchmark without records")
+    return metadata, records

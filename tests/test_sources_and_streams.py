@@ -65,6 +65,33 @@ def test_benchmark_round_trip_refuses_bad_and_repeated_records(spark, tmp_path):
         benchmark_files.write_records(valid.withColumn("transcript", F.lit("x")), str(tmp_path / "out"))
 
 
+def test_benchmark_records_are_judged_on_their_json(spark, tmp_path):
+    good = {"schema_version": 1, "sample_id": "a", "group_id": "g", "decision": "accepted", "predicted_score": 50, "features": {"quality": 10}}
+    flaws = {
+        "deep": ({"extra": [[{"a": {"b": [{"video_id": 1}]}}]]}, "private fields: video_id"), "top": ({"transcript": ""}, "private fields: transcript"),
+        "score": ({"predicted_score": True}, "predicted_score must be between 1 and 99"), "text": ({"predicted_score": "50"}, "predicted_score must be between 1 and 99"),
+        "flag": ({"features": {"quality": False}}, "feature quality must be a finite number"), "none": ({"features": {"quality": None}}, "feature quality must be a finite number"),
+        "tags": ({"tags": ["x", 3]}, "tags must be a list of strings"), "version": ({"schema_version": True}, None), "code": ({"rejection_code": []}, None),
+        "odd code": ({"rejection_code": ["x"]}, "unsupported rejection code"), "id": ({"sample_id": 7}, "sample_id must be a non-empty string"), "free": ({"own": {"field": [1, "path"]}}, None),
+    }
+    lines = [json.dumps({**good, "sample_id": name} | change) for name, (change, _) in flaws.items()] + ["[1, 2]", "{", "   ", json.dumps({"type": "metadata", "path": "x"})]
+    (tmp_path / "bad.jsonl").write_text("\n".join(lines))
+    found = benchmark_files.check_lines(spark.read.text(str(tmp_path / "bad.jsonl"))).collect()
+    assert len(found) == len(lines) - 1
+    errors = {json.loads(r["record"].toJson()).get("sample_id"): r["errors"] for r in found if r["record"] is not None and r["record"].toJson().startswith("{")}
+    assert errors == {change.get("sample_id", name): [reason] if reason else [] for name, (change, reason) in flaws.items()} | {None: []}
+    assert sorted(r["errors"][0] for r in found if r["record"] is None or r["record"].toJson().startswith("[")) == ["a record must be an object", "invalid JSON"]
+    with pytest.raises(ValueError, match="benchmark record deep: private fields: video_id"):
+        benchmark_files.load_records(spark, str(tmp_path / "bad.jsonl"))
+    for name, text, reason in (("two", [{"type": "metadata"}, good, {"type": "metadata"}], "one metadata line"), ("empty", [{"type": "metadata"}], "without records")):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, text)))
+        with pytest.raises(ValueError, match=reason):
+            benchmark_files.load_records(spark, str(tmp_path / name))
+    (tmp_path / "fine").write_text(json.dumps({**good, "tags": ["x"], "expected_reading": None}))
+    record = benchmark_files.load_records(spark, str(tmp_path / "fine"))[1].first()
+    assert (record["predicted_score"], record["features"], record["tags"], record["schema_version"]) == (50.0, {"quality": 10.0}, ["x"], 1)
+
+
 def test_projection_fills_defaults_and_guard_refuses_decisions(spark):
     row = project_segments(spark.createDataFrame([("v", 1, None)], "video_id string, id int, context_score int")).first()
     assert row["context_score"] == -1 and row["tags"] == [] and row["embedding"] is None
