@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from cuewise.plans.carriers import CTE, NEEDS, cte
 from cuewise.plans.queries_text import PROBE, prepared
 from cuewise.plans.registry import query
 from cuewise.schemas import project_segments
-from cuewise.sources import benchmark_files, chat_files
+from cuewise.session import ensure_checkpoint_dir
+from cuewise.sources import benchmark_files, chat_files, chat_lines
 
 # ---- chat ingest: every event becomes one line of a chat file, in one of four formats --------------------------------
 _CLOCK = "CAST(event_id % 24 AS VARCHAR(9)) || ':' || lpad(CAST(event_id % 60 AS VARCHAR(9)), 2, '0') || ':' || lpad(CAST(event_id % 59 AS VARCHAR(9)), 2, '0') || '.5'"
@@ -77,6 +80,111 @@ def chat_ingest(spark, sf_dir):
     return chat_files.parse_chat_texts(_chat_texts(spark, sf_dir))
 
 
+# ---- chat files on disk: 64 recordings of one file each, whose lines come from the events ------------------------------
+FILES = 64
+
+
+def _chat_lines(spark, sf_dir, line, joined=None) -> DataFrame:
+    """Write ``line(i, kind, user, first)`` of every event to the file of its recording, or all ``joined`` to one line; read the files' lines back."""
+    i, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
+    events = carriers.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.concat(F.lit("v"), (i % FILES).cast("string")).alias("video_id"))
+    firsts = events.groupBy("video_id").agg(F.min("event_id").alias("least"))
+    lines = events.join(F.broadcast(firsts), "video_id").select("video_id", "event_id", line(i, kind, user, i == F.col("least")).alias("value"))
+    if joined is not None:
+        lines = lines.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("rows")).select(
+            "video_id", F.lit(0).alias("event_id"), joined(F.array_join(F.transform("rows", lambda r: r["value"]), ", ")).alias("value"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chat-files-{uuid.uuid4().hex}"
+    lines.repartition("video_id").sortWithinPartitions("video_id", "event_id").select("video_id", "value").write.partitionBy("video_id").text(path)
+    return chat_lines.file_lines(spark, path, ("txt",), F.col("video_id"), joined is not None)
+
+
+def _numbered(messages: DataFrame) -> DataFrame:
+    return chat_lines.in_time_order(messages).select("video_id", "position", "seconds", "author", "message")
+
+
+def _from_files(seconds: str, author: str, message: str, where: str = "true") -> str:
+    return f"""SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY seconds, event_id) AS BIGINT) AS position, seconds, author, message FROM (
+      SELECT 'v' || CAST(event_id % {FILES} AS VARCHAR) AS video_id, event_id, CAST({seconds} AS DOUBLE) AS seconds, {author} AS author, {message} AS message FROM events WHERE {where}) q"""
+
+
+@query("chat_file_documents", _from_files("event_id % 3000", "CAST(user_id AS VARCHAR)", "event_type"))
+def chat_file_documents(spark, sf_dir):
+    """JSON documents: a list, or an object that holds it under one of several names."""
+    def item(i, kind, user, first):
+        return F.to_json(F.struct((i % 3000).alias("timecode"), user.alias("userName"), kind.alias("body")))
+
+    def document(items):
+        v = F.substring("video_id", 2, 9).cast("int")
+        return F.when(v % 3 == 0, F.concat(F.lit("["), items, F.lit("]"))).when(v % 3 == 1, F.concat(F.lit('{"data": ['), items, F.lit("]}"))).otherwise(
+            F.concat(F.lit('{"messages": "none", "items": ['), items, F.lit("]}")))
+
+    texts = chat_lines.readable(_chat_lines(spark, sf_dir, item, document))
+    return _numbered(chat_files.from_json_texts(texts.drop("_place"), "line"))
+
+
+@query("chat_file_json_lines", _from_files("event_id % 3000", "CASE WHEN event_id % 5 = 0 THEN 'by ' || CAST(user_id AS VARCHAR) ELSE '' END",
+                                           "CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN event_type || ' ' || CAST(user_id AS VARCHAR) || ' end' WHEN 2 THEN CAST(user_id AS VARCHAR) || ' deep' ELSE event_type || ' plain' END", "event_id % 5 <> 4"))
+def chat_file_json_lines(spark, sf_dir):
+    """One JSON value a line, with blank lines, values that are no objects, and texts in nested lists and objects."""
+    def line(i, kind, user, first):
+        time = (i % 3000).cast("string")
+        return (F.when(i % 5 == 0, F.format_string('{"offset": %s, "author": {"name": "", "login": "by  %s"}, "message": {"text": "", "content": "%s"}}', time, user, kind))
+                .when(i % 5 == 1, F.format_string('{"offset": null, "time": "%s", "fragments": ["%s", {"text": "%s"}, 7, "", " end"]}\n\n[1, {"offset": 1}]', time, kind, user))
+                .when(i % 5 == 2, F.format_string('{"elapsed": %s, "text": [[["%s"], {"body": {"message": {"text": ["deep"]}}}]]}', time, user))
+                .when(i % 5 == 3, F.format_string('{"seconds": %s, "content": "%s \\n plain"}', time, kind)).otherwise(F.format_string('{"seconds": true, "text": "%s"}', kind)))
+
+    return _numbered(chat_files.from_json_lines(chat_lines.broken_up(chat_lines.readable(_chat_lines(spark, sf_dir, line)))))
+
+
+@query("chat_file_tables", _from_files("event_id % 3000", "CASE WHEN (event_id % 64) % 4 = 3 THEN '' ELSE CAST(user_id AS VARCHAR) END",
+                                       "CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || ', \"said\"; ' || CAST(user_id AS VARCHAR) WHEN 2 THEN event_type || ' 6\" nail' ELSE event_type || ' next line' END".replace('\\"', '"')))
+def chat_file_tables(spark, sf_dir):
+    """Comma, semicolon and tab separated files with and without header; quoted cells with separators, quotes and line breaks."""
+    def line(i, kind, user, first):
+        v = i % FILES
+        mark = F.when(v % 3 == 0, ",").when(v % 3 == 1, ";").otherwise("\t")
+
+        def joined(*parts):
+            return F.concat(parts[0], *[piece for part in parts[1:] for piece in (mark, part)])
+
+        cell = F.when(i % 4 == 0, kind).when(i % 4 == 1, F.concat(F.lit('"'), kind, F.lit(', ""said""; '), user, F.lit('"'))).when(i % 4 == 2, F.concat(kind, F.lit(' 6" nail'))).otherwise(
+            F.concat(F.lit('"'), kind, F.lit('\n\n next line"')))
+        time = (i % 3000).cast("string")
+        # of four files one has no header, one has no author
+        row = F.when(v % 4 == 0, joined(time, cell, user)).when(v % 4 == 3, joined(F.lit("-"), cell, time)).otherwise(joined(user, time, F.lit("x"), cell))
+        head = F.when(v % 4 == 3, joined(F.lit("a"), F.lit("Text"), F.lit('"TIME"'))).when(v % 4 != 0, joined(F.lit("sender"), F.lit("timestamp"), F.lit('"more\nabout it"'), F.lit(" Message ")))
+        return F.when(first & head.isNotNull(), F.concat(head, F.lit("\n"), row)).otherwise(row)
+
+    return _numbered(chat_lines.from_delimited_lines(_chat_lines(spark, sf_dir, line)))
+
+
+@query("chat_file_texts", _from_files("CASE WHEN event_id % 3 = 0 THEN 3600 + event_id % 60 + 0.25 ELSE (event_id % 50) * 60 + event_id % 60 END", "CASE WHEN event_id % 3 = 1 THEN '' ELSE CAST(user_id AS VARCHAR) END",
+                                      "CASE WHEN event_id % 3 = 1 THEN event_type ELSE event_type || ': ok' END"))
+def chat_file_texts(spark, sf_dir):
+    """Plain text with times of several forms, between lines that are no messages."""
+    def line(i, kind, user, first):
+        second = F.lpad((i % 60).cast("string"), 2, "0")
+        clock = F.concat((i % 50).cast("string"), F.lit(":"), second)
+        return (F.when(i % 3 == 0, F.concat(F.lit("[1:00:"), second, F.lit(",25] - "), user, F.lit(" : "), kind, F.lit(": ok")))
+                .when(i % 3 == 1, F.concat(F.lit("no message\x0c"), clock, F.lit("  "), kind)).otherwise(F.concat(clock, F.lit("| "), user, F.lit(": "), kind, F.lit(": ok"))))
+
+    return _numbered(chat_files.from_text_lines(chat_lines.broken_up(chat_lines.readable(_chat_lines(spark, sf_dir, line)))))
+
+
+@query("chat_file_encodings", _from_files("event_id % 50", "'Zoë'", f"event_type || CASE (event_id % {FILES}) % 3 WHEN 0 THEN ' zażółć' WHEN 1 THEN ' gęślą' ELSE ' ' || chr(129) || 'é' END"))
+def chat_file_encodings(spark, sf_dir):
+    """UTF-8 with a byte order mark, Central European and Western European bytes; the file decides, not the line."""
+    codes = [code for code in range(0x80, 0x100) if code not in chat_lines.NO_CP1250]
+
+    def line(i, kind, user, first):
+        v, text = i % FILES, F.concat(F.lit("0:"), F.lpad((i % 50).cast("string"), 2, "0"), F.lit(" Zoë: "), kind)
+        unicode = F.concat(F.when(first, "\ufeff").otherwise(""), text, F.lit(" zażółć"))
+        central = F.translate(F.concat(text, F.lit(" gęślą")), bytes(codes).decode("cp1250"), "".join(map(chr, codes)))
+        return F.when(v % 3 == 0, unicode).otherwise(F.encode(F.when(v % 3 == 1, central).otherwise(F.concat(text, F.lit(" \x81é"))), "ISO-8859-1").cast("string"))
+
+    return _numbered(chat_files.from_text_lines(chat_lines.broken_up(chat_lines.readable(_chat_lines(spark, sf_dir, line)))))
+
+
 @query("chat_import_replace", f"WITH n AS ({_INGESTED}) SELECT * FROM n WHERE CAST(substr(video_id, 5) AS INT) % 4 = 1 UNION ALL SELECT video_id, -1.0::DOUBLE, 'old', 'old' FROM (SELECT DISTINCT video_id FROM n) q WHERE CAST(substr(video_id, 5) AS INT) % 4 <> 1")
 def chat_import_replace(spark, sf_dir):
     texts = _chat_texts(spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewise.operators import captions
 from cuewise.plans import catalog
 from cuewise.schemas import check_machine_columns, project_segments
-from cuewise.sources import benchmark_files, chat_files
+from cuewise.sources import benchmark_files, chat_files, chat_lines
 from cuewise.streaming import jobs
 
 
@@ -24,7 +24,7 @@ def test_chat_files_of_every_format(spark, tmp_path):
     (tmp_path / "three.csv").write_bytes("text;time;author\nzażółć;0:05;Ewa\n;0:06;x\n".encode("cp1250"))
     (tmp_path / "four.tsv").write_text("12\tcześć\tJan\n13\tbez autora\n", encoding="utf-8-sig")
     (tmp_path / "five.txt").write_text("[00:09] Kot: miau: miau\n0:10 samo\nbez czasu\n", encoding="utf-8")
-    assert chat(chat_files.read_chat_files(spark, str(tmp_path))) == sorted([
+    assert chat(chat_lines.read_chat_files(spark, str(tmp_path))) == sorted([
         ("one", 3.5, "Ala", "hej tam"), ("one", 7.0, "Ola", "a b"), ("two", 3723.5, "7", "[ok] tak"), ("three", 5.0, "Ewa", "zażółć"),
         ("four", 12.0, "Jan", "cześć"), ("four", 13.0, "", "bez autora"), ("five", 9.0, "Kot", "miau: miau"), ("five", 10.0, "", "samo")])
 
