@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuewise.operators.candidates import numbered_parts
 from cuewise.plans import carriers
 from cuewise.plans.carriers import cte
 from cuewise.plans.queries_ingest import _NORMAL, _json_items_of
 from cuewise.plans.queries_time import CTE  # noqa: F401  (its views are used here)
-from cuewise.plans.registry import query
-from cuewise.session import ensure_checkpoint_dir
+from cuewise.plans.registry import ORACLES, query
+from cuewise.session import cut_lineage, ensure_checkpoint_dir
 from cuewise.streaming import jobs
 
 DAY = "2024-01-01 00:00:00"
@@ -73,14 +74,21 @@ def stream_chat_reaction(spark, sf_dir):
     return pairs.groupBy("id").agg(F.count("*").alias("messages"), F.count_distinct("author").alias("people"))
 
 
-@query("stream_packing")
+@query("stream_packing", ORACLES["pack_candidates"])
 def stream_packing(spark, sf_dir):
-    # turns of a conversation arrive one after the other; each turn takes as long as its text
-    turns = live_table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("position"), (F.col("turn") * 8.0).alias("start_seconds"),
-        (F.col("turn") * 8.0 + F.least(F.lit(8.0), F.greatest(F.lit(1.0), F.length("text") / 15.0))).alias("end_seconds"))
-    timed = turns.withColumn("event_time", jobs.event_time(started(), F.col("end_seconds")))
-    return run_to_table(jobs.pack_live(timed))
+    """Parts of all recordings come in any order, in eight deliveries; a last one lets the watermark pass them all."""
+    folder, deliveries = _work_folder(spark), 8
+    parts = carriers.transcript_parts(spark, sf_dir).select(F.col("video_id").cast("string").alias("video_id"), F.col("turn").alias("position"), "start_seconds", "end_seconds")
+    timed = cut_lineage(numbered_parts(parts.withColumnRenamed("position", "turn"), "turn").drop("turn").withColumn("event_time", jobs.event_time(started(), F.col("end_seconds"))))
+    span = timed.agg(F.max("end_seconds")).first()[0] or 0.0
+    closing = timed.sparkSession.createDataFrame([("", 0, 0.0, 0.0)], "video_id string, position bigint, start_seconds double, end_seconds double").withColumn(
+        "event_time", jobs.event_time(started(), F.lit(3.0 * span + 1000)))
+    for k in range(deliveries):
+        timed.where(F.pmod(F.xxhash64("video_id", "position"), F.lit(deliveries)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    closing.write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = run_to_table(jobs.pack_live(stream, watermark=f"{int(span) + 1} seconds"))
+    return found.select(F.col("video_id").cast(dict(carriers.transcript_parts(spark, sf_dir).dtypes)["video_id"]).alias("video_id"), "first", "last", "start_seconds", "end_seconds")
 
 
 @query("stream_review_upsert", """WITH ev AS (SELECT event_id, user_id AS segment_id, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'unrated' ELSE 'rejected' END AS rating FROM events WHERE user_id IN (SELECT doc_id FROM documents))
