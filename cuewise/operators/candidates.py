@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewise.functions.text import ascii_fold, blank_null
 from cuewise.functions.vocab import DEFAULT_VOCABULARY, Vocabulary
+from cuewise.operators.json_walk import pin
 from cuewise.operators.ordering import chunked_row_number
 from cuewise.session import cut_lineage
 
@@ -76,10 +77,6 @@ def _reached(jumps: DataFrame, chunk: int) -> DataFrame:
                 at = following[at] - base
         return group.loc[group["position"].isin(seen), ["video_id", "position"]]
 
-    largest = jumps.agg(F.max("position")).first()[0] or 0
-    if largest < chunk:
-        entered = typed.withColumn("entered", F.col("position") == 0)
-        return entered.groupBy("video_id").applyInPandas(marks, f"video_id {kind}, position bigint")
     ends = cut_lineage(typed.groupBy("video_id", "_chunk").applyInPandas(exits, f"video_id {kind}, position bigint, next bigint"))
     # follow the chain of chunk entries: the set of known entries doubles its reach every round
     known = ends.where("position = 0").select("video_id", "position")
@@ -119,68 +116,65 @@ def fixed_windows(durations: DataFrame, seconds: int = int(MAX_SECONDS)) -> Data
     return exploded.select("video_id", F.col("_start").cast("double").alias("start_seconds"), F.least(F.col("_start") + F.lit(float(seconds)), F.col("duration_seconds")).alias("end_seconds"))
 
 
+def _neighbouring(numbered: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Parts with what an alignment has to know of them: whether they end a sentence (``ends``), whether the next part follows
+    without a break (``flows``), where that one ends (``next_e``), and whether it opens a punchline."""
+    text = F.rtrim(F.regexp_replace(blank_null(F.col("text")), r"(?U)\s+$", ""))
+    opener = ascii_fold(F.lower(F.regexp_replace(F.col("text"), r"(?U)^\s+", "")), stroked_l=False)
+    slim = numbered.select("video_id", "position", F.col("start_seconds").alias("s"), F.col("end_seconds").alias("e"), F.coalesce(text.rlike(r"[.!?]$"), F.lit(False)).alias("ends"),
+                           F.coalesce(opener.rlike("^(?:" + "|".join(vocab.punchline_starts) + ")"), F.lit(False)).alias("_opens"))
+    after = slim.select("video_id", (F.col("position") - 1).alias("position"), F.col("s").alias("_next_s"), F.col("e").alias("next_e"), F.col("_opens").alias("punch"))
+    return slim.drop("_opens").join(after, ["video_id", "position"], "left").withColumn("flows", F.coalesce(F.col("_next_s") - F.col("e") <= MAX_GAP, F.lit(False))).drop("_next_s")
+
+
 def sentence_bounds(candidates: DataFrame, parts: DataFrame, order: str, durations: DataFrame | None = None,
                     vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Extend candidates over unfinished sentences, and over one following punchline.
 
-    A candidate can only grow to the maximum length plus a fixed extra, so it needs nothing but the parts within that
-    time around it. Those are brought together by time cells, and every candidate is settled on its own short list.
+    An extension ends at its nearest obstacle: a sentence end, a break in speech, or a part that would make the candidate
+    too long. So the new first part comes right after the last obstacle before the candidate, and the new last part is the
+    first obstacle from its end on; the same rule, applied once more, finishes a punchline. A candidate can only grow to
+    the maximum length plus a fixed extra, so it meets its obstacles among the parts within that time, which are brought
+    together by time cells.
     """
     reach = MAX_SECONDS + EXTRA_SECONDS
-    text = F.rtrim(F.regexp_replace(blank_null(F.col("text")), r"(?U)\s+$", ""))
-    opener = ascii_fold(F.lower(F.regexp_replace(F.col("text"), r"(?U)^\s+", "")), stroked_l=False)
-    slim = numbered_parts(parts, order).select(
-        "video_id", "position", F.col("start_seconds").alias("_s"), F.col("end_seconds").alias("_e"), text.rlike(r"[.!?]$").alias("_closed"),
-        opener.rlike("^(?:" + "|".join(vocab.punchline_starts) + ")").alias("_punch"))
+    slim = _neighbouring(numbered_parts(parts, order), vocab)
     width = 4.0 * reach
-    spans = candidates.withColumn("_cell", F.explode(F.sequence(F.floor(F.greatest(F.lit(0.0), F.col("start_seconds") - reach) / width), F.floor((F.col("end_seconds") + reach) / width))))
-    near = slim.withColumn("_cell", F.floor(F.col("_s") / width))
-    joined = spans.join(near, ["video_id", "_cell"]).where((F.col("_e") >= F.col("start_seconds") - reach) & (F.col("_s") <= F.col("end_seconds") + reach))
+    low, high = F.floor(F.greatest(F.lit(0.0), F.col("start_seconds") - reach) / width), F.floor((F.col("end_seconds") + reach) / width)
+    spans = candidates.withColumn("_low", low).withColumn("_cell", F.explode(F.sequence(low, high)))
+    # a part may last longer than a cell; a pair counts in the first cell that both have
+    near = slim.withColumn("_part_low", F.floor(F.col("s") / width)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.greatest("s", "e") / width))))
+    joined = spans.join(near, ["video_id", "_cell"]).where((F.col("_cell") == F.greatest("_low", "_part_low")) & (F.col("e") >= F.col("start_seconds") - reach) & (F.col("s") <= F.col("end_seconds") + reach))
     listed = joined.groupBy("video_id", "first", "last", "start_seconds", "end_seconds").agg(
-        F.array_sort(F.collect_list(F.struct("position", "_s", "_e", "_closed", "_punch"))).alias("near"))
+        F.array_sort(F.collect_list(F.struct("position", "s", "e", "ends", "flows", "next_e", "punch"))).alias("near"))
     limit = listed if durations is None else listed.join(durations, "video_id", "left")
-    limit = limit.withColumn("maximum", F.lit(reach) if durations is None else F.least(F.lit(reach), F.col("duration_seconds")))
-    kind = dict(candidates.dtypes)["video_id"]
-
-    def settle(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                rows.append(_settle(row))
-            yield pd.DataFrame(rows, columns=["video_id", "first", "last", "start_seconds", "end_seconds", "boundary_signals"])
-
-    schema = f"video_id {kind}, first bigint, last bigint, start_seconds double, end_seconds double, boundary_signals array<string>"
-    return limit.select("video_id", "start_seconds", "end_seconds", "near", "maximum").mapInPandas(settle, schema)
-
-
-def _settle(row) -> tuple:
-    """Final first and last part of one candidate, on its few neighbouring parts."""
-    near = [part if isinstance(part, dict) else part.asDict() for part in row.near]
-    first = next((i for i, part in enumerate(near) if part["_e"] >= row.start_seconds), 0)
-    last = max(i for i, part in enumerate(near) if part["_s"] <= row.end_seconds)
-    was_first, was_last, notes = first, last, []
-
-    def joins(left: int, right: int) -> bool:
-        return near[right]["_s"] - near[left]["_e"] <= MAX_GAP
-
-    def finish(last: int) -> int:
-        while last + 1 < len(near) and not near[last]["_closed"] and joins(last, last + 1) and near[last + 1]["_e"] - near[first]["_s"] <= row.maximum:
-            last += 1
-        return last
-
-    while first > 0 and not near[first - 1]["_closed"] and joins(first - 1, first) and near[last]["_e"] - near[first - 1]["_s"] <= row.maximum:
-        first -= 1
-    if first != was_first:
-        notes.append("start aligned to sentence")
-    last = finish(last)
-    if last != was_last:
-        notes.append("end aligned to sentence")
-    following = last + 1
-    if (following < len(near) and near[last]["_closed"] and near[following]["_punch"] and joins(last, following)
-            and near[following]["_e"] - near[first]["_s"] <= row.maximum):
-        last = finish(following)
-        notes.append("extended to punchline")
-    return row.video_id, near[first]["position"], near[last]["position"], near[first]["_s"], near[last]["_e"], notes
+    limit = limit.withColumn("longest", F.lit(reach) if durations is None else F.least(F.lit(reach), F.col("duration_seconds")))
+
+    def places(condition) -> Column:
+        return F.transform(F.filter("near", condition), lambda p: p["position"])
+
+    def part(position: str) -> Column:
+        return F.get(F.filter("near", lambda p: p["position"] == F.col(position)), F.lit(0))
+
+    def obstacle(p: Column) -> Column:
+        """No extension from this part to the next one."""
+        return p["ends"] | ~p["flows"] | (p["next_e"] - F.col("_head.s") > F.col("longest"))
+
+    def first_obstacle(since: Column) -> Column:
+        return F.coalesce(F.array_min(places(lambda p: (p["position"] >= since) & obstacle(p))), F.element_at("near", -1)["position"])
+
+    given = pin(limit, _from=F.coalesce(F.array_min(places(lambda p: p["e"] >= F.col("start_seconds"))), F.get("near", F.lit(0))["position"]),
+                _to=F.array_max(places(lambda p: p["s"] <= F.col("end_seconds"))))
+    tailed = pin(given, _tail=part("_to"))
+    before = places(lambda p: (p["position"] < F.col("_from")) & (p["ends"] | ~p["flows"] | (F.col("_tail.e") - p["s"] > F.col("longest"))))
+    headed = pin(pin(tailed, _begin=F.coalesce(F.array_max(before) + 1, F.get("near", F.lit(0))["position"])), _head=part("_begin"))
+    finished = pin(pin(headed, _end=first_obstacle(F.col("_to"))), _last=part("_end"))
+    punch = F.coalesce(F.col("_last.ends") & F.col("_last.flows") & F.col("_last.punch") & (F.col("_last.next_e") - F.col("_head.s") <= F.col("longest")), F.lit(False))
+    extended = pin(pin(pin(finished, _punch=punch), _stop=F.when(F.col("_punch"), first_obstacle(F.col("_end") + 1)).otherwise(F.col("_end"))), _foot=part("_stop"))
+    notes = F.array_compact(F.array(F.when(F.col("_begin") != F.col("_from"), "start aligned to sentence"), F.when(F.col("_end") != F.col("_to"), "end aligned to sentence"),
+                                    F.when(F.col("_punch"), "extended to punchline")))
+    return extended.select("video_id", F.col("_begin").alias("first"), F.col("_stop").alias("last"), F.col("_head.s").alias("start_seconds"), F.col("_foot.e").alias("end_seconds"),
+                           notes.alias("boundary_signals"))
 
 
 def with_text(spans: DataFrame, parts: DataFrame, order: str) -> DataFrame:

@@ -1,67 +1,76 @@
-"""Caption cues: words of one clip grouped into sentences, phrases, lines and blocks."""
+"""Caption cues: words of one clip in sentences, phrases, lines and blocks of lines."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# --- fixed values: characters that end a sentence, words of a short one
+ENDINGS, SHORT_WORDS = (".", "!", "?", "…"), 4
+
 
 def line_length(font_size: float) -> int:
     return max(14, int(1000 / (font_size * 0.78)))
 
 
+def sentences_of(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the number of every word (``n``) and of its sentence in the clip; a sentence ends with the word that closes it."""
+    ordered = Window.partitionBy(*keys).orderBy("word_start", "word_end", "position")
+    closing = F.rtrim("word").rlike("[" + "".join(ENDINGS) + "]$").cast("int")
+    earlier = F.coalesce(F.sum(closing).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return words.withColumns({"n": F.row_number().over(ordered), "sentence": earlier})
+
+
+def phrases_of(sentences: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sentence, phrase): which sentences make one phrase.
+
+    A short sentence takes the next one along, whatever its length, and the one after that stands for itself again. In a
+    run of short sentences every second one is hence taken: a sentence is taken if an odd number of short ones stands
+    right before it. A short last sentence that is not taken joins what came before it.
+    """
+    clip = Window.partitionBy(*keys).orderBy("sentence")
+    short = F.col("words") <= SHORT_WORDS
+    long_before = F.coalesce(F.max(F.when(~short, F.col("sentence"))).over(clip.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    taken = (F.col("sentence") - long_before - 1) % 2 == 1
+    last = F.lead("sentence").over(clip).isNull()
+    opens = F.when(taken | (last & short & (F.col("sentence") > 0)), 0).otherwise(1)
+    return sentences.withColumn("_opens", opens).select(*keys, "sentence", F.sum("_opens").over(clip.rowsBetween(Window.unboundedPreceding, 0)).alias("phrase"))
+
+
+def line_numbers(lengths: Column, characters: int) -> Column:
+    """Line of every word of a phrase, in an array: a line is filled as far as its words and the spaces between them fit.
+
+    ``upto`` is the running length of the words with a space after each, ``begin`` the value of it where the line began.
+    """
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("begin"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("lines"))
+
+    def step(state: Column, length: Column) -> Column:
+        upto = state["upto"] + length + 1
+        over = (upto - state["begin"] - 1 > characters) & (state["upto"] > state["begin"])
+        line = state["line"] + over.cast("int")
+        return F.struct(upto.alias("upto"), F.when(over, state["upto"]).otherwise(state["begin"]).alias("begin"), line.alias("line"), F.array_append(state["lines"], line).alias("lines"))
+
+    return F.aggregate(lengths, start, step)["lines"]
+
+
 def caption_cues(words: DataFrame, keys: list[str], characters: int, lines: int) -> DataFrame:
     """Cues as (keys, cue, cue_start, cue_end, text); lines of a cue are separated by a line break.
 
-    A clip is the unit of work and holds the words of a few seconds of speech; clips are spread over the cluster.
+    A clip holds the words of a few seconds of speech; clips are spread over the cluster.
     """
-    kinds = dict(words.dtypes)
-    schema = ", ".join(f"{key} {kinds[key]}" for key in keys) + ", cue int, cue_start double, cue_end double, text string"
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["word_start", "word_end", "position"])
-        items = list(zip(ordered["word"], ordered["word_start"], ordered["word_end"]))
-        cues = [block for phrase in _phrases(_sentences(items)) for block in _blocks(phrase, characters, lines)]
-        rows = [(*[group[key].iloc[0] for key in keys], i, block[0][0][1], block[-1][-1][2], "\n".join(" ".join(w[0] for w in line) for line in block))
-                for i, block in enumerate(cues)]
-        return pd.DataFrame(rows, columns=[*keys, "cue", "cue_start", "cue_end", "text"])
-
-    return words.select(*keys, "position", "word", F.col("word_start"), F.col("word_end")).groupBy(*keys).applyInPandas(build, schema)
-
-
-def _sentences(items: list) -> list[list]:
-    done, current = [], []
-    for item in items:
-        current.append(item)
-        if item[0].rstrip().endswith((".", "!", "?", "…")):
-            done.append(current)
-            current = []
-    return done + [current] if current else done
-
-
-def _phrases(sentences: list[list], short: int = 4) -> list[list]:
-    """Join a short sentence to the next one; a short last one goes to the phrase before it."""
-    phrases, waiting = [], list(reversed(sentences))
-    while waiting:
-        phrase = list(waiting.pop())
-        if len(phrase) <= short and waiting:
-            phrases.append(phrase + waiting.pop())
-        elif len(phrase) <= short and phrases:
-            phrases[-1] += phrase
-        else:
-            phrases.append(phrase)
-    return phrases
-
-
-def _blocks(phrase: list, characters: int, lines: int) -> list[list[list]]:
-    rows, used = [], characters + 1
-    for item in phrase:
-        needed = len(item[0]) + 1
-        if used + needed > characters or not rows:
-            rows.append([item])
-            used = len(item[0])
-        else:
-            rows[-1].append(item)
-            used += needed
-    return [rows[i:i + lines] for i in range(0, len(rows), lines)]
+    numbered = sentences_of(words.select(*keys, "position", "word", "word_start", "word_end"), keys)
+    counted = numbered.groupBy(*keys, "sentence").agg(F.count("*").alias("words"))
+    phrased = numbered.join(phrases_of(counted, keys), [*keys, "sentence"])
+    # a phrase is a part of one clip
+    listed = phrased.groupBy(*keys, "phrase").agg(F.array_sort(F.collect_list(F.struct("n", "word", "word_start", "word_end"))).alias("_words"))
+    laid = listed.withColumn("_lines", line_numbers(F.transform("_words", lambda w: F.length(w["word"])), characters))
+    placed = laid.select(*keys, "phrase", F.inline(F.arrays_zip("_words", "_lines")))
+    rows = placed.groupBy(*keys, "phrase", F.col("_lines").alias("line")).agg(
+        F.array_sort(F.collect_list("_words")).alias("_words")).select(
+        *keys, "phrase", F.floor(F.col("line") / lines).alias("block"), "line", F.array_join(F.transform("_words", lambda w: w["word"]), " ").alias("text"),
+        F.get("_words", F.lit(0))["word_start"].alias("begin"), F.element_at("_words", -1)["word_end"].alias("end"))
+    cues = rows.groupBy(*keys, "phrase", "block").agg(
+        F.min_by("begin", "line").alias("cue_start"), F.max_by("end", "line").alias("cue_end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    order = Window.partitionBy(*keys).orderBy("phrase", "block")
+    return cues.select(*keys, (F.row_number().over(order) - 1).alias("cue"), "cue_start", "cue_end", "text")

@@ -220,14 +220,52 @@ def pack_candidates(spark, sf_dir):
     return candidates.pack_candidates(carriers.transcript_parts(spark, sf_dir), "turn")
 
 
-@query("sentence_bounds")
+_ALIGN = cte("parts").replace("WITH ", "WITH RECURSIVE ", 1) + f""", cp AS (SELECT video_id, turn, start_seconds + 3.0 * (turn // 4) AS start_seconds, end_seconds + 3.0 * (turn // 4) AS end_seconds,
+    (video_id * 7 + turn) % 5 IN (0, 3) AS ends, turn % 3 = 0 AS punch FROM parts){_PACK.replace("parts", "cp").replace("SELECT w.video_id, nj.i AS first", ", pk AS (SELECT w.video_id, nj.i AS first")}),
+  b AS (SELECT pk.video_id, pk.first AS c, (SELECT min(turn) FROM cp WHERE cp.video_id = pk.video_id AND cp.end_seconds >= pk.start_seconds) AS f,
+    (SELECT max(turn) FROM cp WHERE cp.video_id = pk.video_id AND cp.start_seconds <= pk.end_seconds) AS l FROM pk),
+  up AS (SELECT video_id, c, f AS k, l FROM b UNION ALL SELECT u.video_id, u.c, u.k - 1, u.l FROM up u JOIN cp p ON p.video_id = u.video_id AND p.turn = u.k - 1 JOIN cp q ON q.video_id = u.video_id AND q.turn = u.k
+    JOIN cp t ON t.video_id = u.video_id AND t.turn = u.l WHERE NOT p.ends AND q.start_seconds - p.end_seconds <= 2.5 AND t.end_seconds - p.start_seconds <= 51),
+  hd AS (SELECT u.video_id, u.c, b.f, b.l, min(u.k) AS nf FROM up u JOIN b ON b.video_id = u.video_id AND b.c = u.c GROUP BY ALL),
+  ht AS (SELECT hd.*, h.start_seconds AS hs FROM hd JOIN cp h ON h.video_id = hd.video_id AND h.turn = hd.nf),
+  down AS (SELECT video_id, c, l AS k, hs FROM ht UNION ALL SELECT d.video_id, d.c, d.k + 1, d.hs FROM down d JOIN cp q ON q.video_id = d.video_id AND q.turn = d.k JOIN cp n ON n.video_id = d.video_id AND n.turn = d.k + 1
+    WHERE NOT q.ends AND n.start_seconds - q.end_seconds <= 2.5 AND n.end_seconds - d.hs <= 51),
+  e1 AS (SELECT ht.video_id, ht.c, ht.f, ht.l, ht.nf, ht.hs, max(d.k) AS ne FROM ht JOIN down d ON d.video_id = ht.video_id AND d.c = ht.c GROUP BY ALL),
+  pu AS (SELECT e1.*, coalesce(q.ends AND n.punch AND n.start_seconds - q.end_seconds <= 2.5 AND n.end_seconds - hs <= 51, false) AS hit FROM e1 JOIN cp q ON q.video_id = e1.video_id AND q.turn = e1.ne
+    LEFT JOIN cp n ON n.video_id = e1.video_id AND n.turn = e1.ne + 1),
+  more AS (SELECT video_id, c, ne + 1 AS k, hs FROM pu WHERE hit UNION ALL SELECT d.video_id, d.c, d.k + 1, d.hs FROM more d JOIN cp q ON q.video_id = d.video_id AND q.turn = d.k JOIN cp n ON n.video_id = d.video_id AND n.turn = d.k + 1
+    WHERE NOT q.ends AND n.start_seconds - q.end_seconds <= 2.5 AND n.end_seconds - d.hs <= 51),
+  fin AS (SELECT pu.*, coalesce((SELECT max(k) FROM more m WHERE m.video_id = pu.video_id AND m.c = pu.c), ne) AS stop FROM pu)
+  SELECT fin.video_id, fin.nf AS first, fin.stop AS last, fin.hs AS start_seconds, z.end_seconds, array_to_string(list_filter([CASE WHEN nf <> f THEN 'start aligned to sentence' END, CASE WHEN ne <> l THEN 'end aligned to sentence' END,
+    CASE WHEN hit THEN 'extended to punchline' END], lambda x: x IS NOT NULL), '|') AS boundary_signals FROM fin JOIN cp z ON z.video_id = fin.video_id AND z.turn = fin.stop"""
+
+
+@query("sentence_bounds", _ALIGN)
 def sentence_bounds(spark, sf_dir):
-    parts = carriers.transcript_parts(spark, sf_dir)
+    """Parts of which three in five do not end a sentence and every third opens a punchline, with a pause after every fourth."""
+    turn, shift = F.col("turn"), 3.0 * F.floor(F.col("turn") / 4)
+    text = F.when((F.col("video_id") * 7 + turn) % 5 % 3 == 0, F.col("text")).otherwise(F.regexp_replace("text", r"[.!?\s]+$", ""))
+    parts = carriers.transcript_parts(spark, sf_dir).withColumns({
+        "text": F.when(turn % 3 == 0, F.concat(F.lit("I nagle "), text)).otherwise(text), "start_seconds": F.col("start_seconds") + shift, "end_seconds": F.col("end_seconds") + shift})
     settled = candidates.sentence_bounds(candidates.pack_candidates(parts, "turn"), parts, "turn")
     return settled.withColumn("boundary_signals", F.array_join("boundary_signals", "|"))
 
 
-@query("caption_cues")
+_CAPTIONS = cte("words").replace("WITH ", "WITH RECURSIVE ", 1) + """, w1 AS MATERIALIZED (SELECT id, word, word_start, word_end, row_number() OVER c AS n,
+    coalesce(sum(CASE WHEN regexp_matches(rtrim(word), '[.!?…]$') THEN 1 ELSE 0 END) OVER (c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k FROM words WINDOW c AS (PARTITION BY id ORDER BY word_start, word_end, position)),
+  sn AS MATERIALIZED (SELECT id, k, count(*) AS m, max(k) OVER (PARTITION BY id) AS final FROM w1 GROUP BY id, k),
+  -- sentence by sentence: what is open, and whether the next one has been taken along
+  wk AS (SELECT id, k, final, 1 AS phrase, m <= 4 AS takes FROM sn WHERE k = 0 UNION ALL SELECT s.id, s.k, s.final, CASE WHEN w.takes OR (s.m <= 4 AND s.k = s.final) THEN w.phrase ELSE w.phrase + 1 END, NOT w.takes AND s.m <= 4
+    FROM wk w JOIN sn s ON s.id = w.id AND s.k = w.k + 1),
+  w2 AS MATERIALIZED (SELECT w1.*, wk.phrase, sum(length(word) + 1) OVER (PARTITION BY w1.id, wk.phrase ORDER BY n) AS upto, length(word) AS size FROM w1 JOIN wk ON wk.id = w1.id AND wk.k = w1.k),
+  nx AS MATERIALIZED (SELECT a.id, a.phrase, a.n, b.n AS nxt FROM (SELECT *, greatest(upto, upto - size + 26) AS target FROM w2) a ASOF JOIN w2 b ON a.id = b.id AND a.phrase = b.phrase AND a.target < b.upto),
+  ln AS (SELECT id, phrase, min(n) AS n, 0 AS line FROM w2 GROUP BY id, phrase UNION ALL SELECT l.id, l.phrase, nx.nxt, l.line + 1 FROM ln l JOIN nx ON nx.id = l.id AND nx.phrase = l.phrase AND nx.n = l.n),
+  li AS (SELECT *, coalesce(lead(n) OVER (PARTITION BY id, phrase ORDER BY line), 1000000000) AS til FROM ln),
+  tx AS (SELECT li.id, li.phrase, li.line, string_agg(word, ' ' ORDER BY w.n) AS text, min(word_start) AS s, arg_max(word_end, w.n) AS e FROM li JOIN w2 w ON w.id = li.id AND w.phrase = li.phrase AND w.n >= li.n AND w.n < li.til GROUP BY ALL)
+  SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY phrase, line // 2) - 1 AS INT) AS cue, min(s) AS cue_start, arg_max(e, line) AS cue_end, string_agg(text, chr(10) ORDER BY line) AS text FROM tx GROUP BY id, phrase, line // 2"""
+
+
+@query("caption_cues", _CAPTIONS)
 def caption_cues(spark, sf_dir):
     segments = carriers.segments(spark, sf_dir, False).select("id", "start_seconds", "end_seconds", "transcript")
     words = intervals.word_times(segments, "transcript", "start_seconds", "end_seconds").drop("transcript")

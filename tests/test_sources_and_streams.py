@@ -109,6 +109,42 @@ def test_captions_join_short_sentences_and_wrap_lines(spark):
     assert all(len(line) <= 14 for r in got for line in r["text"].split("\n")) and all(r["text"].count("\n") <= 1 for r in got)
 
 
+def test_captions_equal_a_plain_layout(spark):
+    import random
+
+    rng, clips = random.Random(12), {}
+    for k in range(25):
+        clips[k] = [rng.choice(["a", "słowo", "bardzodługiesłowo" * 2, "kot"]) + rng.choice(["", "", ".", "…"]) for _ in range(rng.randint(1, 40))]
+    rows = [(k, i, w, float(i), float(i + 1)) for k, words in clips.items() for i, w in enumerate(words)]
+    frame = spark.createDataFrame(rows, "id int, position int, word string, word_start double, word_end double")
+
+    def layout(words):
+        """Sizes of phrases from the sizes of sentences, then lines by trying every further word."""
+        sizes = [len(part.split()) for part in " ".join(words).replace(".", ".|").replace("…", "…|").split("|") if part.strip()]
+        groups = []
+        while sizes:
+            taken = 1 if sizes[0] > 4 or len(sizes) == 1 else 2
+            if len(sizes) == 1 and sizes[0] <= 4 and groups:
+                groups[-1] += sizes.pop()
+            else:
+                groups.append(sum(sizes[:taken]))
+                sizes = sizes[taken:]
+        cues, at = [], 0
+        for size in groups:
+            lines = [words[at]]
+            for word in words[at + 1:at + size]:
+                longer = f"{lines[-1]} {word}"
+                lines = [*lines[:-1], longer] if len(longer) <= 14 else [*lines, word]
+            at += size
+            cues += ["\n".join(lines[i:i + 2]) for i in range(0, len(lines), 2)]
+        return cues
+
+    got = {}
+    for r in captions.caption_cues(frame, ["id"], 14, 2).orderBy("id", "cue").collect():
+        got.setdefault(r["id"], []).append(r["text"])
+    assert got == {k: layout(words) for k, words in clips.items()}
+
+
 def test_live_packing_in_any_order_equals_batch_packing(spark, tmp_path):
     import random
 
