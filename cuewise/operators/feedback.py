@@ -39,8 +39,9 @@ def latest_events(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("updated_at", "event_id")).alias("_row")).select(*keys, "_row.*")
 
 
-def apply_reviews(reviews: DataFrame, snapshots: DataFrame, events: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply review events: the review binds to the current revision, the profile's training snapshot follows it.
+def review_changes(events: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What review events change: the newest review of every segment, and per segment and profile the newest training snapshot,
+    where ``deleted`` tells that it is to go.
 
     ``current`` holds the current revision of every segment (revision_id, revision_number, embedding, features). An
     unrated decision, or one on a revision without a vector, removes the snapshot of that profile.
@@ -49,13 +50,25 @@ def apply_reviews(reviews: DataFrame, snapshots: DataFrame, events: DataFrame, c
     clean = events.withColumns({"rating": rating, "profile": F.lower(F.trim("profile"))}).where(F.col("rating").isin(*RATINGS)).withColumn(
         "review_reason", F.when(F.col("rating") == "rejected", squish(F.col("review_reason"))).otherwise(""))
     bound = clean.join(current, "segment_id")
-    last = latest_events(bound.select("segment_id", "rating", "review_reason", F.col("revision_id").alias("reviewed_revision_id"), "updated_at", "event_id"), ["segment_id"])
-    merged = upsert(reviews, last.select(*reviews.columns), ["segment_id"], "updated_at")
+    reviews = latest_events(bound.select("segment_id", "rating", "review_reason", F.col("revision_id").alias("reviewed_revision_id"), "updated_at", "event_id"), ["segment_id"])
     by_profile = latest_events(bound, ["segment_id", "profile"])
     usable = (F.col("rating") != "unrated") & F.col("embedding").isNotNull()
-    fresh = by_profile.where(usable).withColumnsRenamed({"rating": "decision", "revision_number": "reviewed_revision_number"}).select(*snapshots.columns)
-    kept = delete_keys(snapshots, by_profile, ["segment_id", "profile"])
-    return merged, kept.unionByName(fresh)
+    return reviews, by_profile.withColumn("deleted", ~usable).withColumnsRenamed({"rating": "decision", "revision_number": "reviewed_revision_number"})
+
+
+def apply_reviews(reviews: DataFrame, snapshots: DataFrame, events: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Apply review events: the review binds to the current revision, the profile's training snapshot follows it.
+
+    An event that is older than the row it meets changes neither table. Rows that went earlier leave no trace in plain
+    tables; ``DeltaTable`` keeps their versions.
+    """
+    reviewed, changed = review_changes(events, current)
+    merged = upsert(reviews, reviewed.select(*reviews.columns), ["segment_id"], "updated_at")
+    keys = ["segment_id", "profile"]
+    known = snapshots.select(*keys, F.col("updated_at").alias("_known"))
+    newer = changed.join(known, keys, "left").where(F.col("_known").isNull() | (F.col("updated_at") >= F.col("_known")))
+    kept = delete_keys(snapshots, newer, keys)
+    return merged, kept.unionByName(newer.where("NOT deleted").select(*snapshots.columns))
 
 
 def refresh_snapshots(snapshots: DataFrame, reviews: DataFrame, current: DataFrame) -> DataFrame:

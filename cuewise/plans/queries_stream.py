@@ -14,6 +14,7 @@ from cuewise.plans.queries_ingest import _NORMAL, _json_items_of
 from cuewise.plans.queries_time import CTE  # noqa: F401  (its views are used here)
 from cuewise.plans.registry import ORACLES, query
 from cuewise.session import cut_lineage, ensure_checkpoint_dir
+from cuewise.sources.delta_table import DeltaTable
 from cuewise.streaming import jobs
 
 DAY = "2024-01-01 00:00:00"
@@ -91,21 +92,36 @@ def stream_packing(spark, sf_dir):
     return found.select(F.col("video_id").cast(dict(carriers.transcript_parts(spark, sf_dir).dtypes)["video_id"]).alias("video_id"), "first", "last", "start_seconds", "end_seconds")
 
 
-@query("stream_review_upsert", """WITH ev AS (SELECT event_id, user_id AS segment_id, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'unrated' ELSE 'rejected' END AS rating FROM events WHERE user_id IN (SELECT doc_id FROM documents))
-  SELECT segment_id, arg_max(rating, event_id) AS rating FROM ev GROUP BY 1""")
-def stream_review_upsert(spark, sf_dir):
+_REVIEW_EVENTS = "SELECT event_id, user_id AS segment_id, CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'unrated' ELSE 'rejected' END AS rating, CASE WHEN event_id % 2 = 0 THEN 'general' ELSE 'games' END AS profile FROM events WHERE user_id IN (SELECT doc_id FROM documents)"
+
+
+def _live_reviews(spark, sf_dir) -> tuple[DeltaTable, DeltaTable]:
+    """Review events in six deliveries, in no order of time and the second one twice, written to tables that are compacted on the way."""
     current = carriers.segments(spark, sf_dir).select(
         F.col("id").alias("segment_id"), F.lit(1).alias("revision_number"), F.concat(F.col("id").cast("string"), F.lit("-1")).alias("revision_id"), "embedding", F.lit(1.0).alias("features"))
     none = current.limit(0)
     reviews = none.select("segment_id", F.lit("").alias("rating"), F.lit("").alias("review_reason"), F.lit("").alias("reviewed_revision_id"), F.lit(0).cast("bigint").alias("updated_at"))
     snapshots = none.select("segment_id", F.lit("").alias("profile"), F.lit("").alias("decision"), F.lit("").alias("review_reason"), "embedding", "features", F.lit(1).alias("reviewed_revision_number"), F.lit(0).cast("bigint").alias("updated_at"))
-    kind = F.col("event_type")
-    events = live_table(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").alias("segment_id"), F.col("event_id").alias("updated_at"),
-        F.when(kind == "purchase", "accepted").when(kind == "error", "unrated").otherwise("rejected").alias("rating"), F.lit("too long").alias("review_reason"), F.lit("general").alias("profile"))
-    folder = _work_folder(spark)
-    running = (events.writeStream.foreachBatch(jobs.review_sink(folder, current, reviews, snapshots)).option("checkpointLocation", f"{folder}/state")
+    kind, folder, deliveries = F.col("event_type"), _work_folder(spark), 6
+    events = carriers.table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("segment_id"), F.col("event_id").alias("updated_at"), F.when(F.col("event_id") % 2 == 0, " General").otherwise("games").alias("profile"),
+        F.when(kind == "purchase", "Accepted").when(kind == "error", "unrated").otherwise("rejected").alias("rating"), F.lit("too long").alias("review_reason"))
+    for k in [*range(deliveries), 1]:
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(deliveries)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    tables = jobs.review_tables(folder, reviews, snapshots, buckets=8)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    running = (stream.writeStream.foreachBatch(jobs.review_sink(tables, current, compact_every=3)).option("checkpointLocation", f"{folder}/state")
                .trigger(availableNow=True).start())
     running.awaitTermination()
-    last = running.lastProgress["batchId"]
-    return spark.read.parquet(f"{folder}/reviews/version={last}").select("segment_id", "rating")
+    return tables
+
+
+@query("stream_review_upsert", f"SELECT segment_id, arg_max(rating, event_id) AS rating FROM ({_REVIEW_EVENTS}) ev GROUP BY 1")
+def stream_review_upsert(spark, sf_dir):
+    return _live_reviews(spark, sf_dir)[0].read().select("segment_id", "rating")
+
+
+@query("stream_review_snapshots", f"""SELECT segment_id, profile, arg_max(rating, event_id) AS decision, max(event_id) AS updated_at FROM ({_REVIEW_EVENTS}) ev
+  WHERE segment_id IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2 HAVING arg_max(rating, event_id) <> 'unrated'""")
+def stream_review_snapshots(spark, sf_dir):
+    return _live_reviews(spark, sf_dir)[1].read().select("segment_id", "profile", "decision", "updated_at")
