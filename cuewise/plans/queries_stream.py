@@ -54,6 +54,21 @@ def stream_chat_ingest(spark, sf_dir):
     return run_to_table(jobs.live_messages(lines, started()).select("video_id", "seconds", "author", "message"))
 
 
+@query("stream_chat_redelivery", f"SELECT video_id, seconds, author, message FROM ({_NORMAL}) q UNION ALL SELECT video_id, seconds, author, message FROM ({_NORMAL}) q WHERE event_id % 16 = 0")
+def stream_chat_redelivery(spark, sf_dir):
+    """Each recording's log is delivered half, then whole, then whole again; some of its lines stand in it twice."""
+    folder = _work_folder(spark)
+    lines = _json_items_of(carriers.table(spark, sf_dir, "events"))
+    text = F.when(F.col("event_id") % 16 == 0, F.concat("line", F.lit("\n\n"), "line")).otherwise(F.col("line"))
+    half = carriers.table(spark, sf_dir, "events").agg(F.max("event_id") / 2).first()[0] or 0
+    for k, part in enumerate((lines.where(F.col("event_id") <= half), lines, lines)):
+        part.select("video_id", "event_id", text.alias("value")).repartition("video_id").sortWithinPartitions("video_id", "event_id").select(
+            "video_id", "value").write.partitionBy("video_id").text(f"{folder}/in/delivery{k}")
+    name = F.regexp_extract("_metadata.file_path", "video_id=([^/]+)", 1)
+    messages = jobs.delivered_messages(spark, f"{folder}/in/*/*", started(), "3 hours", name, name)
+    return run_to_table(messages.select("video_id", "seconds", "author", "message"))
+
+
 @query("stream_chat_activity", cte("flag") + """, m AS (SELECT *, CAST(round(seconds * 1000000) AS BIGINT) AS us, NOT alert AND (expressive OR joy) AS reactive FROM flag),
   w AS (SELECT m.*, 6 * (CAST(floor(us / 6000000.0) AS BIGINT) - k.k) AS ws FROM m, (SELECT unnest([0, 1, 2]) AS k) k)
   SELECT video_id, ws AS window_start, count(*) AS messages, count(*) FILTER (reactive) AS reactive FROM w WHERE (ws + 18) * 1000000 <= (SELECT max(us) FROM m) - 120000000 GROUP BY 1, 2""")

@@ -109,6 +109,22 @@ def test_captions_join_short_sentences_and_wrap_lines(spark):
     assert all(len(line) <= 14 for r in got for line in r["text"].split("\n")) and all(r["text"].count("\n") <= 1 for r in got)
 
 
+def test_a_file_delivered_again_counts_once(spark, tmp_path):
+    def line(second, text):
+        return json.dumps({"seconds": second, "message": text}, ensure_ascii=False)
+
+    logs = {"one/a.jsonl": [line(1, "x"), line(1, "x"), line(2, "y")], "two/a.jsonl": [line(1, "x"), line(1, "x"), line(2, "y"), line(3, "nowe ż")], "one/b.jsonl": [line(1, "x")]}
+    for name, lines in logs.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes("\r\n".join(lines).encode("cp1250"))
+    messages = jobs.delivered_messages(spark, str(tmp_path / "in" / "*"), F.lit("2024-01-01").cast("timestamp"), "1 hour")
+    running = messages.select("video_id", "seconds", "message").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    found = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert found == [("a", 1.0, "x"), ("a", 1.0, "x"), ("a", 2.0, "y"), ("a", 3.0, "nowe ż"), ("b", 1.0, "x")]
+
+
 def test_captions_equal_a_plain_layout(spark):
     import random
 
