@@ -15,6 +15,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold any character."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

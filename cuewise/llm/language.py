@@ -217,8 +217,8 @@ def fit(docs: DataFrame, allowed: Column, id_column: str = "doc_id", text_column
     return train(training_rows(docs, id_column, text_column, lang_column, allowed))
 
 
-def predict(docs: DataFrame, model: Model, keep: list, text_column: str = "text") -> DataFrame:
-    """``keep`` columns and ``found``: struct of lang_pred, score, the pooled probability of that language, local, the mean
+def predict(docs: DataFrame, model: Model, keep: list, text_column: str = "text", name: str = "found") -> DataFrame:
+    """``keep`` columns and a column of the given name: struct of lang_pred, score, the pooled probability of that language, local, the mean
     of each position's highest probability, and has_letter."""
     @F.pandas_udf("lang_pred string, score double, local double, has_letter boolean")
     def label(texts: pd.Series) -> pd.DataFrame:
@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model: Model, keep: list, text_column: str = "text"
             out.loc[part, "local"] = local
         return out
 
-    return docs.select(*keep, label(F.col(text_column)).alias("found"))
+    return docs.select(*keep, label(F.col(text_column)).alias(name))
 
 
 def length_class(text: Column) -> Column:
@@ -264,9 +264,9 @@ def junk_bounds(docs: DataFrame, model: Model, text_column: str = "text", lang_c
     return {r["size"]: min(r["mean"] - DEVIATIONS * r["dev"], chance + NEAR_CHANCE * (r["mean"] - chance)) for r in rows if r["n"] >= LEAST_ROWS}
 
 
-def not_junk(bounds: dict[int, float], text_column: str = "text") -> Column:
+def not_junk(bounds: dict[int, float], text_column: str = "text", name: str = "found") -> Column:
     """Of rows of ``predict``: whether the text has a letter and is not under the bound of its length class."""
     least = F.lit(0.0)
     for size, bound in sorted(bounds.items()):
         least = F.when(length_class(F.col(text_column)) == size, F.lit(float(bound))).otherwise(least)
-    return F.col("found.has_letter") & (F.col("found.local") >= least)
+    return F.col(f"{name}.has_letter") & (F.col(f"{name}.local") >= least)

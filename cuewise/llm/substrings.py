@@ -29,9 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import join_crowded, stored
+from cuewise.llm.common import join_crowded, quoted, stored
 
 GRAM, LENGTH, HOT = 6, 20, 5000
+EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 FIRST, SECOND, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -180,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     others = [c for c in docs.columns if c not in (id_column, text_column)]
     kind = docs.schema[id_column].dataType.simpleString()
     # the other columns travel as one text, so that their names and types cannot clash with the operator's own
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if others and with_text else F.lit(None).cast("string")
+    rest = F.to_json(F.struct(*[F.col(quoted(c)) for c in others]), EXACT_TIMES) if others and with_text else F.lit(None).cast("string")
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), rest.alias("rest"))
 
     seeds = rows.select("id", "text").mapInPandas(_seeds(gram, length), f"h long, id {kind}, pos int, mark int")
