@@ -208,7 +208,7 @@ def update_run_state(runs: DataFrame, failures: DataFrame) -> DataFrame:
     joined = runs.join(failures.select("run_id", "message"), "run_id", "left")
     failed = F.col("message").isNotNull() & (F.col("state") == "running")
     return joined.withColumns({"state": F.when(failed, "failed").otherwise(F.col("state")),
-                               "error_message": F.when(failed, F.col("message")).otherwise(""),
+                               "error_message": F.when(failed, F.col("message")).otherwise(F.col("error_message")),
                                "is_current": F.col("is_current") & ~failed}).drop("message")
 
 

@@ -142,10 +142,12 @@ def word_times(rows: DataFrame, text: str, start: str, end: str) -> DataFrame:
 
 
 def pause_ranges(words: DataFrame, keys: Sequence[str], duration: Column, threshold: float = 0.85, padding: float = 0.12,
-                 shortest: float = 0.08) -> DataFrame:
+                 shortest: float = 0.08, clips: DataFrame | None = None) -> DataFrame:
     """Ranges kept after removing long pauses; word times are relative to the clip.
 
-    A gap is measured against the latest end so far; every long gap opens a new island.
+    A gap is measured against the latest end so far; every long gap opens a new island. A clip without a usable word, or
+    whose ranges are all too short, is kept whole. ``clips`` has all clips, one row each, with the columns of ``duration``;
+    without it only clips that occur in ``words`` are known.
     """
     by_start = Window.partitionBy(*keys).orderBy("left", "right")
     clean = words.select(*keys, duration.alias("_duration"), F.greatest(F.lit(0.0), F.col("word_start")).alias("left"),
@@ -165,7 +167,11 @@ def pause_ranges(words: DataFrame, keys: Sequence[str], duration: Column, thresh
         *keys, "_duration", "_island",
         F.when(F.col("_island") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("_first") - padding)).alias("range_start"),
         F.when(F.col("_final"), F.col("_duration")).otherwise(F.least(F.col("_duration"), F.col("_last") + padding)).alias("range_end"))
-    return ranged.where(F.col("range_end") - F.col("range_start") >= shortest).drop("_duration").withColumnRenamed("_island", "island")
+    kept = ranged.where(F.col("range_end") - F.col("range_start") >= shortest).drop("_duration").withColumnRenamed("_island", "island")
+    known = words.groupBy(*keys).agg(F.max(duration).alias("range_end")) if clips is None else clips.select(*keys, duration.alias("range_end"))
+    whole = known.join(kept.select(*keys).distinct(), list(keys), "left_anti").select(
+        *keys, F.lit(0).cast(kept.schema["island"].dataType).alias("island"), F.lit(0.0).alias("range_start"), F.col("range_end").cast("double").alias("range_end"))
+    return kept.unionByName(whole)
 
 
 def kept_offsets(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:

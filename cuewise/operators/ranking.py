@@ -255,10 +255,13 @@ def filter_tag(rows: DataFrame, tag: str) -> DataFrame:
     return rows.where(F.array_contains(canonical_tags(F.col("tags")), canonical_tag(F.lit(tag))))
 
 
-def filter_reading(rows: DataFrame) -> DataFrame:
+def read_aloud() -> Column:
     length = F.greatest(F.lit(0.0), F.col("end_seconds") - F.col("start_seconds"))
-    return rows.where(~scores.disallowed_reading(F.col("reading_likelihood"), length, F.col("chat_question_match_score"),
-                                                 F.col("chat_reaction_score"), F.col("chat_joy_score")))
+    return scores.disallowed_reading(F.col("reading_likelihood"), length, F.col("chat_question_match_score"), F.col("chat_reaction_score"), F.col("chat_joy_score"))
+
+
+def filter_reading(rows: DataFrame) -> DataFrame:
+    return rows.where(~read_aloud())
 
 
 SORT_MODES = {

@@ -137,9 +137,10 @@ def next_run_sequence(spark, sf_dir):
 
 
 @query("run_state_update", cte("runs0") + """SELECT run_id, CASE WHEN o_orderstatus = 'P' AND run_id % 3 = 0 THEN 'failed' WHEN o_orderstatus = 'P' THEN 'running' ELSE 'completed' END AS state,
-  CASE WHEN o_orderstatus = 'P' AND run_id % 3 = 0 THEN 'stopped' ELSE '' END AS error_message, is_current AND NOT (o_orderstatus = 'P' AND run_id % 3 = 0) AS is_current FROM runs0""")
+  CASE WHEN o_orderstatus = 'P' AND run_id % 3 = 0 THEN 'stopped' WHEN run_id % 7 = 0 THEN 'earlier' ELSE '' END AS error_message, is_current AND NOT (o_orderstatus = 'P' AND run_id % 3 = 0) AS is_current FROM runs0""")
 def run_state_update(spark, sf_dir):
-    runs = _runs(spark, sf_dir).withColumn("state", F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed"))
+    runs = _runs(spark, sf_dir).withColumns({"state": F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed"),
+                                             "error_message": F.when(F.col("run_id") % 7 == 0, "earlier").otherwise("")})
     failures = carriers.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("run_id"), F.lit("stopped").alias("message"))
     return history.update_run_state(runs, failures).select("run_id", "state", "error_message", "is_current")
 
@@ -256,9 +257,10 @@ def review_upsert(spark, sf_dir):
     return feedback.upsert(_latest(spark, sf_dir, "event_id % 2 = 1"), _events(spark, sf_dir, "event_id % 2 = 0").select("segment_id", "event_id", "rating"), ["segment_id"], "event_id").select("segment_id", "event_id")
 
 
-@query("insert_ignore", "SELECT user_id AS segment_id, coalesce(max(event_id) FILTER (event_id % 4 = 1), min(event_id) FILTER (event_id % 4 = 0)) AS event_id FROM events WHERE event_id % 4 < 2 GROUP BY 1")
+@query("insert_ignore", "SELECT user_id AS segment_id, coalesce(max(event_id) FILTER (event_id % 2 = 1), min(event_id) FILTER (event_id % 2 = 0)) AS event_id FROM events GROUP BY 1")
 def insert_ignore(spark, sf_dir):
-    return feedback.insert_ignore(_latest(spark, sf_dir, "event_id % 4 = 1"), _events(spark, sf_dir, "event_id % 4 = 0").select("segment_id", "event_id", "rating"), ["segment_id"], "event_id").select("segment_id", "event_id")
+    # odd ids are stored and even ones arrive
+    return feedback.insert_ignore(_latest(spark, sf_dir, "event_id % 2 = 1"), _events(spark, sf_dir, "event_id % 2 = 0").select("segment_id", "event_id", "rating"), ["segment_id"], "event_id").select("segment_id", "event_id")
 
 
 @query("keyed_delete", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)")

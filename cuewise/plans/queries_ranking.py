@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuewise.operators import diversity, ranking, similarity
+from cuewise.operators.ordering import ordered_index
 from cuewise.plans import carriers, search
 from cuewise.plans.carriers import CTE, NEEDS, cte
 from cuewise.plans.registry import query
+from cuewise.session import cut_lineage
 
 def tie3(value: str) -> str:
     """Half-even rounding to three places on the decimal value, as Spark does it."""
@@ -297,6 +299,55 @@ def search_description(spark, sf_dir):
     return found.select("id", "similarity", "ranking_score")
 
 
+# ---- the same searches where a part of the segments is retired and reviews are incomplete ------------------------------------
+CTE["live"] = "SELECT r.*, v.rating FROM ranked r JOIN rev v ON v.segment_id = r.id WHERE r.id % 12 <> 5"
+NEEDS["live"] = ("ranked", "rev")
+
+
+def _lived(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Segments of which every twelfth is retired, and the reviews of those that have labels."""
+    segments = carriers.tagged(spark, sf_dir).withColumn("lifecycle_state", F.when(F.col("id") % 12 == 5, "retired").otherwise("current"))
+    return segments, carriers.reviews(spark, sf_dir).select(F.col("segment_id").alias("id"), "rating", "review_reason")
+
+
+@query("recording_search", cte("live") + """SELECT id, ranking_score, source_removed, CAST(row_number() OVER (ORDER BY quality_score DESC, start_seconds, id) AS BIGINT) AS place FROM (
+  SELECT *, n_chars % 3 = 0 AS source_removed, row_number() OVER (PARTITION BY video_id, duplicate_group ORDER BY ranking_score DESC, start_seconds, id) AS rn FROM (
+    SELECT l.* EXCLUDE (n_chars), d.m AS n_chars FROM live l JOIN (SELECT source AS video_id, count(*) AS m FROM documents WHERE source <> 'src7' GROUP BY 1) d ON d.video_id = l.video_id) v
+  WHERE list_contains(tags, 'format: czytanie')) q WHERE rn = 1 OR duplicate_group = ''""")
+def recording_search(spark, sf_dir):
+    """Clips of reading aloud, asked for by another name of the tag, of all recordings whose video is known, by quality."""
+    segments, reviews = _lived(spark, sf_dir)
+    videos = carriers.table(spark, sf_dir, "documents").where("source <> 'src7'").groupBy(F.col("source").alias("video_id")).agg((F.count("*") % 3 == 0).alias("source_removed"))
+    found = search.search_segments(segments, reviews, feedback(spark, sf_dir), tag=" Reading ", videos=videos)
+    ranked_rows = cut_lineage(search.in_order(found, "quality_desc").select("id", "ranking_score", "source_removed", "quality_score", "start_seconds"))
+    return ordered_index(ranked_rows, ranking.sort_order("quality_desc"), out="place").select("id", "ranking_score", "source_removed", "place")
+
+
+@query("ranked_current", cte("live") + """SELECT id, ranking_score FROM (SELECT *, row_number() OVER (PARTITION BY video_id, duplicate_group ORDER BY ranking_score DESC, start_seconds, id) AS rn FROM live
+  WHERE rating <> 'rejected') q WHERE (rn = 1 OR duplicate_group = '') AND NOT excluded ORDER BY ranking_score DESC, start_seconds, id LIMIT 100""")
+def ranked_current(spark, sf_dir):
+    segments, reviews = _lived(spark, sf_dir)
+    return search.search_by_references(segments, None, feedback(spark, sf_dir), limit=100, reviews=reviews).select("id", "ranking_score")
+
+
+_LIVE = " WHERE r.id % 12 <> 5 AND r.id IN (SELECT doc_id FROM labels WHERE quality = 1)"
+
+
+@query("search_collection_current", cte("sim").replace("JOIN top8 ON top8.id = r.id", "JOIN top8 ON top8.id = r.id" + _LIVE) + _SEARCH)
+def search_collection_current(spark, sf_dir):
+    segments, reviews = _lived(spark, sf_dir)
+    found = search.search_by_references(segments, references(spark, sf_dir), feedback(spark, sf_dir), limit=50, reviews=reviews)
+    return found.select("id", "similarity", "ranking_score")
+
+
+@query("search_description_current", cte("one").replace("ON q.vec_id = 7", "ON q.vec_id = 7" + _LIVE) + _SEARCH.replace("FROM sim", "FROM one"))
+def search_description_current(spark, sf_dir):
+    segments, reviews = _lived(spark, sf_dir)
+    described = carriers.table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.col("vec_id").alias("ref_id"), F.col("embedding").cast("array<double>").alias("ref_vector"))
+    found = search.search_by_references(segments, described, feedback(spark, sf_dir), limit=50, reviews=reviews)
+    return found.select("id", "similarity", "ranking_score")
+
+
 @query("best_of_stream")
 def best_of_stream(spark, sf_dir):
     picks = diversity.best_of_stream(ranked(spark, sf_dir), 10)

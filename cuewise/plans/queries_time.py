@@ -213,10 +213,12 @@ NEEDS["kept"] = ("isle",)
 
 
 def _kept_ranges(spark, sf_dir):
-    return intervals.pause_ranges(_spaced(spark, sf_dir), ["id"], F.col("clip_length"))
+    clips = carriers.segments(spark, sf_dir, False).select("id", (F.col("end_seconds") - F.col("start_seconds")).alias("clip_length"))
+    return intervals.pause_ranges(_spaced(spark, sf_dir), ["id"], F.col("clip_length"), clips=clips)
 
 
-@query("pause_ranges", cte("kept") + "SELECT id, isle AS island, round(range_start, 9) AS range_start, round(range_end, 9) AS range_end FROM kept")
+@query("pause_ranges", cte("kept", "seg") + """SELECT id, isle AS island, round(range_start, 9) AS range_start, round(range_end, 9) AS range_end FROM kept
+  UNION ALL SELECT id, 0, 0.0, round(end_seconds - start_seconds, 9) FROM seg WHERE id NOT IN (SELECT id FROM kept)""")
 def pause_ranges(spark, sf_dir):
     return _kept_ranges(spark, sf_dir).select("id", F.col("island"), F.round("range_start", 9).alias("range_start"), F.round("range_end", 9).alias("range_end"))
 

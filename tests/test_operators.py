@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewise.operators import benchmark, candidates, diversity, history, intervals, maintenance, ordering, ranking, similarity
+from cuewise.plans import search
 
 
 def test_chunked_ranks_and_sums_equal_a_plain_window(spark):
@@ -218,3 +219,27 @@ def test_keyed_index_and_quantiles_with_one_hot_key(spark):
     assert [(r["v"], r["id"]) for r in got] == sorted(((i * 37) % 101, i) for i in range(600))
     q = ordering.exact_quantiles(rows, ["k"], "v", [0.25, 0.55, 0.99], ["a", "b", "c"]).where("k = 'hot'").first()
     assert np.allclose([q["a"], q["b"], q["c"]], np.percentile([(i * 37) % 101 for i in range(600)], [25, 55, 99]))
+
+
+def test_clips_without_words_are_kept_whole(spark):
+    words = spark.createDataFrame([(1, 0.0, 1.0, 5.0), (1, 3.0, 4.0, 5.0), (2, 2.0, 2.0, 5.0), (3, 0.01, 0.02, 0.05)], "id int, word_start double, word_end double, length double")
+    clips = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 0.05), (4, 7.5)], "id int, length double")
+    got = sorted((r["id"], r["island"], r["range_start"], round(r["range_end"], 6)) for r in intervals.pause_ranges(words, ["id"], F.col("length"), clips=clips).collect())
+    assert got == [(1, 0, 0.0, 1.12), (1, 1, 2.88, 5.0), (2, 0, 0.0, 5.0), (3, 0, 0.0, 0.05), (4, 0, 0.0, 7.5)]
+
+
+def test_failing_runs_leave_earlier_messages(spark):
+    runs = spark.createDataFrame([(1, "running", "", True), (2, "failed", "disk full", False), (3, "running", "", True)], "run_id int, state string, error_message string, is_current boolean")
+    failures = spark.createDataFrame([(1, "stopped"), (2, "stopped")], "run_id int, message string")
+    assert sorted(map(tuple, history.update_run_state(runs, failures).select("run_id", "state", "error_message", "is_current").collect())) == [
+        (1, "failed", "stopped", False), (2, "failed", "disk full", False), (3, "running", "", True)]
+
+
+def test_searches_leave_out_retired_rejected_and_foreign_segments(spark):
+    rows = spark.createDataFrame([(1, "a", "current", [1.0]), (2, "a", "retired", [1.0]), (3, "a", "current", None), (4, "b", "current", [1.0])], "id int, video_id string, lifecycle_state string, embedding array<double>")
+    reviews = spark.createDataFrame([(1, "accepted"), (2, "accepted"), (4, "rejected")], "id int, rating string")
+    assert [r["id"] for r in search.searchable(rows).orderBy("id").collect()] == [1, 4]
+    assert [r["id"] for r in search.searchable(rows, spark.createDataFrame([("b",)], "video_id string")).collect()] == [4]
+    assert [r["id"] for r in search.not_rejected(search.searchable(rows), reviews).collect()] == [1]
+    with pytest.raises(ValueError, match="between 1 and 30"):
+        search.checked_limit(31, search.LARGEST_PICKS)
