@@ -10,6 +10,7 @@ from cuewise.operators import feedback, history, maintenance
 from cuewise.plans import carriers
 from cuewise.plans.carriers import CTE, NEEDS, cte
 from cuewise.plans.registry import query
+from cuewise.sources import file_samples
 
 # ---- matching ---------------------------------------------------------------------------------------------------------
 CTE["seg_new"] = "SELECT video_id, id + 1000000000 AS id, start_seconds + id % 5 AS start_seconds, end_seconds + id % 5 AS end_seconds, transcript FROM seg WHERE id % 7 <> 3"
@@ -257,6 +258,13 @@ def review_upsert(spark, sf_dir):
     return feedback.upsert(_latest(spark, sf_dir, "event_id % 2 = 1"), _events(spark, sf_dir, "event_id % 2 = 0").select("segment_id", "event_id", "rating"), ["segment_id"], "event_id").select("segment_id", "event_id")
 
 
+@query("source_fingerprints")
+def source_fingerprints(spark, sf_dir):
+    """Samples of the given files themselves; their times of change have no SQL form."""
+    found = file_samples.fingerprints(spark, sf_dir, glob="*.parquet")
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "size", "fingerprint")
+
+
 @query("insert_ignore", "SELECT user_id AS segment_id, coalesce(max(event_id) FILTER (event_id % 2 = 1), min(event_id) FILTER (event_id % 2 = 0)) AS event_id FROM events GROUP BY 1")
 def insert_ignore(spark, sf_dir):
     # odd ids are stored and even ones arrive
