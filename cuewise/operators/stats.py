@@ -138,3 +138,27 @@ def reference_prompt(top_tags: Column, top_words: Column) -> Column:
     tags = F.when(F.size(top_tags) > 0, F.array_join(top_tags, ", ")).otherwise("similar tone and context")
     words = F.when(F.size(top_words) > 0, F.array_join(top_words, ", ")).otherwise("the tone, topic and structure of reference clips")
     return F.concat(F.lit("Find clips similar to the reference examples. Prioritize: "), tags, F.lit(". Typical context and wording: "), words, F.lit("."))
+
+
+def _commonest(items: DataFrame, key: str, limit: int, out: str) -> DataFrame:
+    """(key, out): the most frequent ``item`` values of every key, those of equal counts in the order of their first place
+    (``order``, ``at``). Counts and first places combine on the map side."""
+    counted = items.groupBy(key, "item").agg(F.count("*").alias("n"), F.min(F.struct("order", "at")).alias("first"))
+    best = Window.partitionBy(key).orderBy(F.col("n").desc(), "first")
+    top = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda p: p["item"]).alias(out))
+
+
+def reference_prompts(examples: DataFrame, key: str, order: str, text: str, tags: str, stopwords, minimum: int = 5) -> DataFrame:
+    """(key, prompt): the search prompt of every reference collection, from the four commonest tags and the six commonest longer
+    words of its examples. Tags count under their canonical names. Collections whose examples have neither still get a prompt."""
+    from cuewise.functions.tags import canonical_tags
+    from cuewise.functions.text import white_tokens
+
+    word = F.lower(F.regexp_replace("item", r"""^[.,!?;:\-()\[\]{}"']+|[.,!?;:\-()\[\]{}"']+$""", ""))
+    said = examples.select(key, F.col(order).alias("order"), F.posexplode(white_tokens(F.col(text))).alias("at", "item")).withColumn("item", word)
+    words = _commonest(said.where((F.length("item") >= minimum) & ~F.col("item").isin(*stopwords)), key, 6, "_words")
+    marked = examples.select(key, F.col(order).alias("order"), F.posexplode(canonical_tags(F.col(tags))).alias("at", "item"))
+    none = F.array().cast("array<string>")
+    joined = examples.select(key).distinct().join(_commonest(marked, key, 4, "_tags"), key, "left").join(words, key, "left")
+    return joined.select(key, reference_prompt(F.coalesce("_tags", none), F.coalesce("_words", none)).alias("prompt"))

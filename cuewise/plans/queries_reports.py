@@ -309,3 +309,16 @@ def keyword_topk(spark, sf_dir):
     documents = carriers.balanced(carriers.table(spark, sf_dir, "documents"))
     top = stats.keyword_topk(documents, "source", "text", DEFAULT_VOCABULARY.prompt_stopwords)
     return top.select("source", "word", "n", F.col("place").cast("bigint").alias("place"))
+
+
+@query("reference_prompts", cte("tagged") + r""", t AS (SELECT video_id, tag, count(*) AS n, min(id * 1000 + i) AS first FROM (SELECT video_id, id, unnest(tags) AS tag, unnest(range(len(tags))) AS i FROM tagged) a GROUP BY 1, 2),
+  tt AS (SELECT video_id, string_agg(tag, ', ' ORDER BY place) AS said FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, first) AS place FROM t) b WHERE place <= 4 GROUP BY 1),
+  w AS (SELECT video_id, word, count(*) AS n, min(id * 10000000 + i) AS first FROM (SELECT video_id, id, i, lower(trim(w, '.,!?;:-()[]{}"''')) AS word FROM (
+    SELECT video_id, id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT video_id, id, string_split(trim(regexp_replace(transcript, '[\s\p{Z}]+', ' ', 'g')), ' ') AS ws FROM tagged) a) b) c
+    WHERE length(word) >= 5 AND word NOT IN ('bardzo', 'tylko', 'przez') GROUP BY 1, 2),
+  ww AS (SELECT video_id, string_agg(word, ', ' ORDER BY place) AS said FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, first) AS place FROM w) b WHERE place <= 6 GROUP BY 1)
+  SELECT v.video_id, 'Find clips similar to the reference examples. Prioritize: ' || coalesce(tt.said, 'similar tone and context') || '. Typical context and wording: ' || coalesce(ww.said, 'the tone, topic and structure of reference clips') || '.' AS prompt
+  FROM (SELECT DISTINCT video_id FROM tagged) v LEFT JOIN tt ON tt.video_id = v.video_id LEFT JOIN ww ON ww.video_id = v.video_id""")
+def reference_prompts(spark, sf_dir):
+    """Every recording as a collection of its clips."""
+    return stats.reference_prompts(carriers.tagged(spark, sf_dir), "video_id", "id", "transcript", "tags", DEFAULT_VOCABULARY.prompt_stopwords)
