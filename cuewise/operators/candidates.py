@@ -77,20 +77,17 @@ def _reached(jumps: DataFrame, chunk: int) -> DataFrame:
                 at = following[at] - base
         return group.loc[group["position"].isin(seen), ["video_id", "position"]]
 
-    ends = cut_lineage(typed.groupBy("video_id", "_chunk").applyInPandas(exits, f"video_id {kind}, position bigint, next bigint"))
-    # follow the chain of chunk entries: the set of known entries doubles its reach every round
-    known = ends.where("position = 0").select("video_id", "position")
-    hop = ends.select("video_id", "position", "next")
-    total = -1
-    while True:
+    # follow the chain of chunk entries: every jump leaves its chunk, and the set of known entries doubles its reach every round
+    known, hop, reach = typed.where("position = 0").select("video_id", "position"), None, 1
+    chunks = (typed.agg(F.max("_chunk")).first()[0] or 0) + 1
+    while reach < chunks:
+        if hop is None:
+            hop = cut_lineage(typed.groupBy("video_id", "_chunk").applyInPandas(exits, f"video_id {kind}, position bigint, next bigint"))
+        else:
+            onward = hop.select("video_id", F.col("position").alias("next"), F.col("next").alias("_then"))
+            hop = cut_lineage(hop.join(onward, ["video_id", "next"], "left").select("video_id", "position", F.coalesce("_then", "next").alias("next")))
         known = cut_lineage(known.unionByName(known.join(hop, ["video_id", "position"]).select("video_id", F.col("next").alias("position"))).distinct())
-        count = known.count()
-        if count == total:
-            break
-        total = count
-        hop = cut_lineage(hop.join(hop.select("video_id", F.col("position").alias("next"), F.col("next").alias("_then")), ["video_id", "next"]).select(
-            "video_id", "position", F.col("_then").alias("next")).unionByName(
-            hop.join(hop.select("video_id", F.col("position").alias("next")), ["video_id", "next"], "left_anti").select("video_id", "position", "next")))
+        reach *= 2
     flagged = typed.join(known.withColumn("entered", F.lit(True)), ["video_id", "position"], "left").withColumn("entered", F.coalesce("entered", F.lit(False)))
     return flagged.groupBy("video_id", "_chunk").applyInPandas(marks, f"video_id {kind}, position bigint")
 
