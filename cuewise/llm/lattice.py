@@ -1,23 +1,38 @@
 """SentencePiece encoding and decoding as relations: a lattice of pieces, joined, grouped and folded by Spark.
 
 Texts are cut into units (a run of space marks and the characters up to the next one; no piece reaches over such a
-border). Each distinct unit is settled once: its substrings up to the longest piece are exploded and joined to the piece
-table, the edges are grouped by unit, and a higher-order aggregate folds them into the best path. Ties: at each end
-position edges come from the leftmost start on, and a later one must be strictly better. A character without a piece of
-its own gives its byte pieces. The encoded units are joined back to the places of the texts where they stand.
-
-Decoding joins ids to the piece table, puts the pieces together in order, and turns byte pieces back to characters.
-
-Defined cases: a null or empty text has no ids and decodes to an empty text; equal rows each give a row.
+border). Rows are packed into blocks of about ``BLOCK`` bytes of text, each a compressed table, so that texts are moved
+once. A block sends its distinct units to slices by their hash. There each distinct unit is settled once: its substrings
+up to the longest piece are exploded and joined to the piece table, the edges are grouped by unit, and a higher-order
+aggregate folds them into the best path. Each block gets the ids of its units back, in the order it sent them, and puts
+its texts together. Ties: at each end position edges come from the leftmost start on, and a later one must be strictly
+better. A character without a piece of its own gives its byte pieces.
+
+Decoding looks ids up in the piece table and turns byte pieces back to characters.
+
+Defined cases: a null or empty text has no ids and decodes to an empty text; equal rows each give a row; a text without
+spaces is one unit, whose edges one task holds at a time, in time that grows with its length. A text that holds the space
+mark itself decodes to spaces there.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import stored
-from cuewise.llm.unigram import MODEL, SPACE, load_vocabulary
+from cuewise.llm.common import bounded_batches, quoted
+from cuewise.llm.unigram import MODEL, SPACE, UNIT, load_vocabulary, normalise
+
+BLOCK = 16 << 20
+KEY, CHUNK, PATH = 64, 256, 256
 
 
 def piece_table(spark: SparkSession, vocabulary: dict) -> DataFrame:
@@ -25,69 +40,167 @@ def piece_table(spark: SparkSession, vocabulary: dict) -> DataFrame:
     return spark.createDataFrame([(p, k, s) for p, (s, k) in vocabulary["pieces"].items()], "piece string, id int, score double")
 
 
-def unit_key(unit: Column) -> Column:
-    return F.unhex(F.md5(unit))
-
-
-def units(text: Column) -> Column:
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(text != "", F.split(marked, f"(?<=[^{SPACE}])(?={SPACE})")).otherwise(F.array().cast("array<string>"))
+def unit_key(unit: str) -> str:
+    """The unit, or a digest of a long one; no unit holds a plain space."""
+    return unit if len(unit) <= KEY else " " + hashlib.sha256(unit.encode("utf-8")).hexdigest()
 
 
 def encode_units(distinct: DataFrame, pieces: DataFrame, vocabulary: dict) -> DataFrame:
-    """(key, ids) of (key, unit); rows that are partitioned by key stay where they are."""
+    """(slice, key, ids) of (slice, key, unit); rows that are partitioned by key stay where they are."""
     longest = max(map(len, vocabulary["pieces"]))
-    starts = distinct.select("key", F.length("unit").alias("n"), "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
-    tails = starts.select("key", "n", "start", F.substring("unit", F.col("start") + 1, F.lit(longest)).alias("tail"))
-    substrings = tails.select("key", "n", "start", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("length"))
-    edges = substrings.select("key", "n", "start", "length", F.substring("tail", F.lit(1), F.col("length")).alias("piece")).join(
+    # long units are cut into overlapping chunks first, so that no row but theirs holds them whole
+    chunks = distinct.select("slice", "key", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1, F.lit(CHUNK))).alias("first"))
+    chunks = chunks.select("slice", "key", "first", F.substring("unit", F.col("first") + 1, F.lit(CHUNK + longest)).alias("part"))
+    starts = chunks.select("slice", "key", "first", "part", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.length("part")) - 1)).alias("at"))
+    tails = starts.select("slice", "key", (F.col("first") + F.col("at")).alias("start"), F.substring("part", F.col("at") + 1, F.lit(longest)).alias("tail"))
+    substrings = tails.select("slice", "key", "start", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("length"))
+    edges = substrings.select("slice", "key", "start", "length", F.substring("tail", F.lit(1), F.col("length")).alias("piece")).join(
         F.broadcast(pieces), "piece", "left").where((F.col("length") == 1) | F.col("id").isNotNull())
     # a character without a piece becomes an edge of its bytes
     raw = F.transform(F.sequence(F.lit(1), F.length(F.encode("piece", "UTF-8"))), lambda k: F.conv(F.hex(F.substring(F.encode("piece", "UTF-8"), k, F.lit(1))), 16, 10).cast("int") + min(vocabulary["bytes"].values(), default=0))
     unknown = raw if vocabulary["bytes"] else F.array(F.lit(vocabulary["unk_id"]))
     edge = F.struct((F.col("start") + F.col("length")).alias("end"), F.col("start"), F.coalesce("score", F.lit(vocabulary["unknown"])).alias("score"),
                     F.when(F.col("id").isNotNull(), F.array("id")).otherwise(unknown).alias("ids"))
-    grouped = edges.groupBy("key").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("slice", "key").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
-    # state: best score and path for each of the last ``longest`` ends, the newest last
-    def start_state() -> Column:
-        return F.array(F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    # state: best score and path for each of the last ``longest`` ends, the newest last; single characters are edges, so
+    # no end is missing. A path is a list of full parts and the part that still grows.
+    none = F.array().cast("array<int>")
+    begin = F.array(F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.array().cast("array<array<int>>").alias("done"), none.alias("ids")))
 
     def fold(state: Column, e: Column) -> Column:
-        source = F.get(F.filter(state, lambda s: s["at"] == e["start"]), F.lit(0))
-        value = source["score"] + e["score"]
         newest = F.element_at(state, -1)
-        item = F.struct(e["end"].alias("at"), value.alias("score"), F.concat(source["ids"], e["ids"]).alias("ids"))
+        source = F.element_at(state, e["start"] - newest["at"] - 1)
+        value = source["score"] + e["score"]
+        full = F.size(source["ids"]) >= PATH
+        item = F.struct(e["end"].alias("at"), value.alias("score"), F.when(full, F.concat(source["done"], F.array(source["ids"]))).otherwise(source["done"]).alias("done"),
+                        F.when(full, e["ids"]).otherwise(F.concat(source["ids"], e["ids"])).alias("ids"))
         return F.when(newest["at"] < e["end"], F.concat(F.slice(state, F.greatest(F.lit(1), F.size(state) - longest + 1), longest), F.array(item))).when(
             value > newest["score"], F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(item))).otherwise(state)
 
-    return grouped.select("key", F.element_at(F.aggregate("edges", start_state(), fold), -1)["ids"].alias("ids"))
+    best = grouped.select("slice", "key", F.element_at(F.aggregate("edges", begin, fold), -1).alias("best"))
+    return best.select("slice", "key", F.concat(F.flatten("best.done"), "best.ids").alias("ids"))
+
 
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = MODEL) -> DataFrame:
-    """(row, id, ids): piece ids of every row's text; ``row`` numbers the rows."""
+
+def unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def in_slices(units: list[str], slices: int) -> dict[int, list[int]]:
+    """Numbers of the units that go to each slice, in the order of the units' text."""
+    out: dict[int, list[int]] = {}
+    for unit, k in sorted(zip(units, range(len(units)))):
+        out.setdefault(zlib.crc32(unit.encode("utf-8")) % slices, []).append(k)
+    return out
+
+
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = MODEL, block: int = BLOCK) -> DataFrame:
+    """(row, id, text, ids): piece ids of every row's text; ``row`` numbers the rows."""
+    spark = docs.sparkSession
     vocabulary = load_vocabulary(path)
     if not vocabulary["units"]:
         raise ValueError("a piece of this vocabulary reaches over a space mark")
-    pieces = piece_table(docs.sparkSession, vocabulary)
-    rows = docs.select(F.col(id_column).alias("id"), units(F.coalesce(F.col(text_column), F.lit(""))).alias("units"))
-    cut = rows.select(F.explode("units").alias("unit")).select(unit_key(F.col("unit")).alias("key"), "unit")
-    distinct = cut.groupBy("key").agg(F.first("unit").alias("unit"))
-    encoded = stored(encode_units(distinct, pieces, vocabulary))
-    # each row carries a unit once, with all its places
-    places = stored(rows.select(F.monotonically_increasing_id().alias("row"), "id", F.transform("units", unit_key).alias("keys")))
-    spots = places.select("row", F.posexplode("keys").alias("at", "key"))
-    met = spots.join(encoded, "key").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    return places.select("row", "id").join(met, "row", "left").select(
-        "row", "id", F.coalesce(F.flatten(F.transform("parts", lambda p: p["ids"])), F.array().cast("array<int>")).alias("ids"))
+    bounded_batches(spark)
+    rows = docs.select(F.col(quoted(id_column)).alias("id"), F.col(quoted(text_column)).alias("text"))
+    slices = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block
+    id_type = rows.schema["id"].dataType.simpleString()
+    small = np.uint16 if max(k for _, k in vocabulary["pieces"].values()) < 2 ** 16 and max(vocabulary["bytes"].values(), default=0) < 2 ** 16 else np.int32
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = row = TaskContext.get().partitionId() << 33
+        held, size = [], 0
+
+        def full() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            table = table.append_column("row", pa.array(np.arange(first, first + len(table))))
+            return pa.RecordBatch.from_pydict({"block": pa.array([first], pa.int64()), "rows": pa.array([packed(table)], pa.binary())})
+
+        for batch in batches:
+            held.append(batch)
+            row, size = row + len(batch), size + batch.nbytes
+            if size >= block:
+                yield full()
+                held, size, first = [], 0, row
+        if row > first:
+            yield full()
+
+    def distinct_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, rows in zip(batch["block"].to_pylist(), batch["rows"]):
+                seen: set[str] = set()
+                for text in unpacked(rows.as_py())["text"]:
+                    seen.update(UNIT.findall(normalise(text.as_py() or "")))
+                units = list(seen)
+                sent = in_slices(units, slices)
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([number] * len(sent), pa.int64()), "slice": pa.array(list(sent), pa.int32()),
+                    "units": pa.array([" ".join(units[k] for k in own) for own in sent.values()], pa.string())})
+
+    def once(table: pa.Table) -> pa.Table:
+        seen: set[str] = set()
+        for units in table["units"]:
+            seen.update(units.as_py().split(" "))
+        own = list(seen)
+        return pa.table({"slice": pa.array([table["slice"][0].as_py()] * len(own), pa.int32()), "key": pa.array(map(unit_key, own), pa.string()), "unit": pa.array(own, pa.string())})
+
+    def answer(asked: pa.Table, settled: pa.Table) -> pa.Table:
+        ids = dict(zip(settled["key"].to_pylist(), settled["ids"].combine_chunks()))
+        counts, found = [], []
+        for units in asked["units"]:
+            own = [ids[unit_key(u)].values for u in units.as_py().split(" ")]
+            counts.append(zlib.compress(np.array([len(x) for x in own], np.int32).tobytes(), 1))
+            found.append(zlib.compress(pa.concat_arrays(own).to_numpy().astype(small).tobytes(), 1))
+        return pa.table({"block": asked["block"], "slice": asked["slice"], "counts": pa.array(counts, pa.binary()), "found": pa.array(found, pa.binary())})
+
+    def together(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        table = unpacked(blocks["rows"][0].as_py())
+        number: dict[str, int] = {}
+        places = [np.fromiter((number.setdefault(u, len(number)) for u in UNIT.findall(normalise(t.as_py() or ""))), np.int64) for t in table["text"]]
+        sent = in_slices(list(number), slices)
+        begins, sizes, parts, total = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.zeros(0, small)], 0
+        for slice_, counts, found in zip(answers["slice"].to_pylist(), answers["counts"].to_pylist(), answers["found"].to_pylist()):
+            own, n = np.array(sent[slice_]), np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
+            sizes[own], begins[own] = n, total + np.cumsum(n) - n
+            parts.append(np.frombuffer(zlib.decompress(found), small))
+            total += int(n.sum())
+        pool = np.concatenate(parts)
+        lists = []
+        for at in places:
+            n = sizes[at]
+            shift = begins[at] - (np.cumsum(n) - n)
+            lists.append(pool[np.repeat(shift, n) + np.arange(n.sum())].astype(np.int32))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+        return pa.table({"row": table["row"], "id": table["id"], "text": table["text"], "ids": ids})
+
+    # every use below takes all columns of these two shuffles, so each is made once
+    blocks = rows.mapInArrow(pack, "block long, rows binary").repartition("block")
+    asked = blocks.mapInArrow(distinct_units, "block long, slice int, units string").repartition(slices, "slice")
+    distinct = asked.groupBy("slice").applyInArrow(once, "slice int, key string, unit string").repartition(slices, "key")
+    settled = encode_units(distinct, piece_table(spark, vocabulary), vocabulary)
+    answers = asked.groupBy("slice").cogroup(settled.groupBy("slice")).applyInArrow(answer, "block long, slice int, counts binary, found binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(together, f"row long, id {id_type}, text string, ids array<int>")
+
+
+def decoded(ids: Column, path: str = MODEL) -> Column:
+    """The text of an array of piece ids."""
+    vocabulary = load_vocabulary(path)
+    raw = {k: p.replace(SPACE, " ").encode("utf-8") for p, (_, k) in vocabulary["pieces"].items()} | {k: bytes([b]) for b, k in vocabulary["bytes"].items()}
+
+    @F.pandas_udf("string")
+    def text(lists: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(map(raw.__getitem__, own.tolist())).decode("utf-8", "replace")[1:] for own in lists], dtype=object)
+
+    return text(ids)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """(row, id, text) of (row, id, ids)."""
-    vocabulary = load_vocabulary(path)
-    table = [(k, p.replace(SPACE, " ").encode("utf-8")) for p, (_, k) in vocabulary["pieces"].items()] + [(k, bytes([b])) for b, k in vocabulary["bytes"].items()]
-    pieces = encoded.sparkSession.createDataFrame(table, "piece_id int, raw binary")
-    spots = encoded.select("row", F.posexplode("ids").alias("at", "piece_id")).join(F.broadcast(pieces), "piece_id")
-    joined = spots.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("raw").alias("raw")))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["raw"]), "")), "UTF-8")
-    return encoded.select("row", "id").join(joined, "row", "left").select("row", "id", F.coalesce(F.substring(text, 2, 2147483647), F.lit("")).alias("text"))
+    return encoded.select("row", "id", decoded(F.col("ids"), path).alias("text"))

@@ -47,9 +47,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text."""
-    docs = read_table(spark, sf_dir, "documents")
-    return lattice.encode(docs).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids")
+    """Ids of every text, and whether decoding them gives the text again."""
+    encoded = lattice.encode(read_table(spark, sf_dir, "documents"))
+    restored = lattice.decoded(F.col("ids")) == F.coalesce("text", F.lit(""))
+    return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", restored.alias("restored"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
