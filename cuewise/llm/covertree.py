@@ -7,8 +7,9 @@ pruned so before they are joined, with kth scores from a bounded sample of the d
 the dual-tree search descends both cover trees, best bound first, and the kth scores rise as it goes.
 
 Defined cases: rows without a usable vector take no part; repeated equal rows count once; a query leaves out all rows of
-its own id; only vectors of equal length are compared; fewer than k candidates give fewer rows. Scores are exact integers:
-sums that could pass 2^53 are computed with whole numbers of any size.
+its own id; of several vectors of one id the best pair counts; only vectors of equal length are compared; fewer than k
+candidates give fewer rows. Scores are exact integers: sums that could pass 2^53 are computed with whole numbers of any
+size; what lies outside 64 bits becomes the largest or smallest score there, ties by id.
 """
 
 from __future__ import annotations
@@ -57,24 +58,35 @@ def cover_tree(points: np.ndarray, members: np.ndarray | None = None, leaf: int
 def upper_bound(q: Node, d: Node) -> float:
     size_q, size_d = np.linalg.norm(q.centre), np.linalg.norm(d.centre)
     exact = float(q.centre @ d.centre) + size_q * d.radius + size_d * q.radius + q.radius * d.radius
-    return exact + 1e-9 * (1 + (size_q + q.radius) * (size_d + d.radius))  # never below the true value after rounding
+    # never below the true value after rounding, nor below the smallest score
+    return max(exact + 1e-9 * (1 + (size_q + q.radius) * (size_d + d.radius)), -2.0 ** 63)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of all rows."""
-    largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if largest < 2 ** 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * a.shape[1] < 2 ** 53:
+        return (x @ y.T).astype(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, LOWEST + 1, NOBODY).astype(np.int64)
 
 
 LOWEST, NOBODY = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
+def keep_best(scores: np.ndarray, ids: np.ndarray) -> None:
+    """In every row only the highest score of each id stays."""
+    order = np.lexsort((~scores, ids), axis=1)
+    names = np.take_along_axis(ids, order, 1)
+    again = np.zeros(ids.shape, bool)
+    np.put_along_axis(again, order[:, 1:], names[:, 1:] == names[:, :-1], 1)
+    scores[again], ids[again] = LOWEST, NOBODY
+
+
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(scores, ids) of the k best of ``data`` for each query, by falling score, then id; missing ones are (LOWEST, NOBODY)."""
     scores, ids = np.full((len(queries), k), LOWEST), np.full((len(queries), k), NOBODY)
     floor = np.full(len(queries), LOWEST) if floor is None else floor
+    repeats = len(np.unique(data_ids)) < len(data_ids)
     a, b = cover_tree(queries), cover_tree(data)
     heap, count = [(-upper_bound(a, b), 0, a, b)], 1
     while heap:
@@ -87,6 +99,8 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
             found[query_ids[a.members][:, None] == data_ids[b.members][None, :]] = LOWEST
             names = np.where(found == LOWEST, NOBODY, np.broadcast_to(data_ids[b.members], found.shape))
             all_scores, all_ids = np.concatenate([scores[a.members], found], axis=1), np.concatenate([ids[a.members], names], axis=1)
+            if repeats:
+                keep_best(all_scores, all_ids)
             order = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]
             scores[a.members], ids[a.members] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
             continue
@@ -164,6 +178,7 @@ def top_k(table: DataFrame, component, queries, k: int = 5, id_column: str = "ve
     dot = F.aggregate(F.zip_with("c", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     product = (size(F.col("c")) + F.col("r")) * (size(F.col("e")) + F.col("s"))
     bound = dot + size(F.col("c")) * F.col("s") + size(F.col("e")) * F.col("r") + F.col("r") * F.col("s") + 1e-9 * (1 + product)
+    bound = F.greatest(bound, F.lit(-2.0 ** 63))
     pairs = left.join(right, ["dim", "part"]).where(bound >= F.col("worst")).select("q", "d")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:

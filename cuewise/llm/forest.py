@@ -9,7 +9,7 @@ Leaves are processed in blocks of bounded size, whatever their number of rows; q
 fewer rows than a leaf holds all are compared.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; repeated equal rows
-count once; a query leaves out all rows of its own id; only vectors of equal length are compared; fewer than k candidates give fewer rows.
+count once; a query leaves out all rows of its own id; of several vectors of one id the nearest pair counts; only vectors of equal length are compared; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -153,18 +153,21 @@ def nearest(table: DataFrame, queries, k: int = 5, id_column: str = "vec_id", ve
     def rerank(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        two = two.sort_values("vec_id")
         q, d = unit(np.array(one["v"].tolist(), np.float64)), unit(np.array(two["v"].tolist(), np.float64))
         names, ids = one["vec_id"].to_numpy(), two["vec_id"].to_numpy()
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         out = []
         for begin in range(0, len(q), 256):
             part = slice(begin, begin + 256)
             near = q[part] @ d.T
             near[names[part][:, None] == ids[None, :]] = -2.0
-            kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -1.5)
+            tops = np.maximum.reduceat(near, first, axis=1)
+            kth = np.partition(tops, -k, axis=1)[:, -k] if tops.shape[1] > k else np.full(len(near), -1.5)
             i, j = np.nonzero((near >= kth[:, None] - 1e-9) & (near > -1.5))
             out.append(pd.DataFrame({"query_id": names[part][i], "vec_id": ids[j], "score": exact_cosine(q[part][i], d[j])}))
         found = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return found.groupby("query_id", sort=False).head(k)
+        return found.drop_duplicates(["query_id", "vec_id"]).groupby("query_id", sort=False).head(k)
 
     scored = asks.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(dealt.select(*keys, "vec_id", "v").groupBy(*keys)).applyInPandas(
         rerank, "query_id long, vec_id long, score double")
