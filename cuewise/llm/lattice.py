@@ -32,6 +32,7 @@ from cuewise.llm.common import bounded_batches, quoted
 from cuewise.llm.unigram import MODEL, SPACE, UNIT, load_vocabulary, normalise
 
 BLOCK = 16 << 20
+FINER = 8  # partitions of edges for each slice, so that a task sorts those of about 20,000 units in memory
 KEY, CHUNK, PATH = 64, 256, 256
 
 
@@ -183,7 +184,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     # every use below takes all columns of these two shuffles, so each is made once
     blocks = rows.mapInArrow(pack, "block long, rows binary").repartition("block")
     asked = blocks.mapInArrow(distinct_units, "block long, slice int, units string").repartition(slices, "slice")
-    distinct = asked.groupBy("slice").applyInArrow(once, "slice int, key string, unit string").repartition(slices, "key")
+    distinct = asked.groupBy("slice").applyInArrow(once, "slice int, key string, unit string").repartition(FINER * slices, "key")
     settled = encode_units(distinct, piece_table(spark, vocabulary), vocabulary)
     answers = asked.groupBy("slice").cogroup(settled.groupBy("slice")).applyInArrow(answer, "block long, slice int, counts binary, found binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(together, f"row long, id {id_type}, text string, ids array<int>")
