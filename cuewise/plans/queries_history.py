@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from cuewise.operators import feedback, history, maintenance
+from cuewise.operators import activation, feedback, history, maintenance
 from cuewise.plans import carriers
 from cuewise.plans.carriers import CTE, NEEDS, cte
 from cuewise.plans.registry import query
+from cuewise.schemas import project_segments
 from cuewise.sources import file_samples
 
 # ---- matching ---------------------------------------------------------------------------------------------------------
@@ -88,6 +89,40 @@ def persist_run(spark, sf_dir):
     return active.select("video_id", "id", "revision_number", "lifecycle_state", "analysis_run_id", "change")
 
 
+@query("activation_commit")
+def activation_commit(spark, sf_dir):
+    """Every recording is analysed anew, but about a third of the runs find nothing: all four tables afterwards, one row per key."""
+    at = F.timestamp_seconds(F.lit(1700000000))
+    rows = carriers.segments(spark, sf_dir, False)
+    state = {"revision_number": (1 + F.col("id") % 3).cast("int"), "lifecycle_state": F.when(F.col("id") % 9 == 4, "retired").otherwise("current"),
+             "analysis_run_id": F.concat_ws("-", "video_id", F.lit("run-1")), "retired_at": F.lit(None).cast("timestamp"), "created_at": at}
+    segments = project_segments(rows).withColumns(state)
+    revisions = segments.select(
+        F.concat_ws(":", F.col("id").cast("string"), F.col("revision_number").cast("string")).alias("revision_id"), F.col("id").alias("segment_id"), "revision_number",
+        F.lit("analysis").alias("revision_kind"), F.lit(True).alias("is_current"), F.col("analysis_run_id").alias("run_id"), F.lit(None).cast("double").alias("match_confidence"),
+        F.lit("").alias("match_reason"), activation.machine_digest().alias("payload_digest"), "created_at")
+    reviews = carriers.reviews(spark, sf_dir).select("segment_id", F.lit(None).cast("string").alias("reviewed_revision_id"), "rating", F.lit("").alias("review_reason"),
+                                                     at.alias("created_at"), at.alias("updated_at"))
+    ended = rows.select("video_id").distinct()
+    parent = F.concat_ws("-", "video_id", F.lit("run-1"))
+    runs = ended.select("video_id", parent.alias("run_id"), F.lit(None).cast("string").alias("parent_run_id"), F.lit("completed").alias("state"), F.lit(True).alias("is_current"),
+                        F.lit(0).cast("long").alias("candidate_count"), F.lit("").alias("error_message"), at.alias("completed_at"))
+    staged = ended.select("video_id", F.concat_ws("-", "video_id", F.lit("run-2")).alias("run_id"))
+    runs = runs.unionByName(staged.select("video_id", "run_id", parent.alias("parent_run_id"), F.lit("running").alias("state"), F.lit(False).alias("is_current"),
+                                          F.lit(0).cast("long").alias("candidate_count"), F.lit("").alias("error_message"), F.lit(None).cast("timestamp").alias("completed_at")))
+    records = rerun(spark, sf_dir).where(F.crc32(F.col("video_id").cast("binary")) % 3 != 0)
+    after = activation.activate(dict(zip(activation.TABLES, (segments, revisions, reviews, runs))), staged, records, at)
+    shown = [
+        after["segments"].select(F.lit("segments").alias("table_name"), F.col("id").cast("string").alias("key"), F.col("revision_number").cast("long").alias("number"), F.col("lifecycle_state").alias("state")),
+        after["revisions"].select(F.lit("revisions"), F.concat_ws("/", F.col("segment_id").cast("string"), "revision_id"), F.col("revision_number").cast("long"), F.concat_ws(":", "revision_kind", F.col("is_current").cast("string"))),
+        after["reviews"].select(F.lit("reviews"), F.col("segment_id").cast("string"), F.lit(None).cast("long"), "rating"),
+        after["runs"].select(F.lit("runs"), "run_id", "candidate_count", "state")]
+    result = shown[0]
+    for part in shown[1:]:
+        result = result.union(part)
+    return result
+
+
 # ---- revisions: orders of a customer stand in for the revisions of a segment --------------------------------------------
 CTE["hist"] = "SELECT o_custkey AS segment_id, o_orderkey AS event_id, o_orderdate AS created_at, o_totalprice AS quality_score, o_orderstatus AS revision_kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision_number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS is_current FROM orders"
 
