@@ -268,3 +268,29 @@ def test_long_segments_and_delays_keep_their_reactions(spark, tmp_path, length,
     running.awaitTermination()
     found = sorted(r.seconds for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert found == [t for t in times if length / 2 + delay <= t <= length + delay + 18]
+
+
+def test_a_streamed_table_may_be_a_folder_of_files(spark, tmp_path):
+    from cuewise.plans.queries_stream import live_table, run_to_table
+
+    spark.range(10).withColumnRenamed("id", "event_id").repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(4).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    for name, size in (("many", 10), ("one", 4)):
+        assert sorted(r[0] for r in run_to_table(live_table(spark, str(tmp_path), name)).collect()) == list(range(size))
+
+
+def test_reactions_across_cells_of_time(spark, tmp_path):
+    from cuewise.plans.queries_stream import run_to_table
+
+    start = F.lit("2024-01-01").cast("timestamp")
+    segments = [(k, 7.0 * k, 7.0 * k + 50) for k in range(20)]
+    messages = [0.5 * k for k in range(500)]
+    spark.createDataFrame(segments, "id long, middle double, end double").write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame([(t,) for t in messages], "seconds double").write.parquet(str(tmp_path / "m"))
+    left = spark.readStream.schema("id long, middle double, end double").parquet(str(tmp_path / "s")).select(
+        F.lit("v").alias("video_id"), "id", jobs.event_time(start, F.col("middle")).alias("middle_time"), jobs.event_time(start, F.col("end")).alias("end_time"))
+    right = spark.readStream.schema("seconds double").parquet(str(tmp_path / "m")).select(
+        F.lit("v").alias("video_id"), "seconds", jobs.event_time(start, F.col("seconds")).alias("event_time"), F.lit("a").alias("author"), F.lit("x").alias("message"))
+    pairs = run_to_table(jobs.delayed_reactions(left, right, 6.0))
+    assert sorted((r["id"], r["seconds"]) for r in pairs.collect()) == [(k, t) for k, m, e in segments for t in messages if m + 6 <= t <= e + 24]
