@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cuewise.functions.vectors import cosine, dot
+from cuewise.functions.vectors import cosine
 from cuewise.session import cut_lineage
 
 
@@ -61,30 +61,49 @@ def matrix_of(vectors: list) -> np.ndarray:
 
 
 BROADCAST_VECTORS = 4096
+PART_VECTORS, LANE_ROWS, PRODUCT_CELLS = 16384, 32768, 1 << 22
+
+
+def _best_products(count: int):
+    def best(rows: pd.DataFrame, references: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or references.empty:
+            return pd.DataFrame({"_vector": pd.Series(dtype="int64"), "_top": pd.Series(dtype="object")})
+        left, right = np.vstack(rows["embedding"].to_numpy()), np.vstack(references["ref_vector"].to_numpy()).T
+        top, tops = min(count, right.shape[1]), []
+        step = max(1, PRODUCT_CELLS // right.shape[1])
+        for at in range(0, len(left), step):
+            dots = left[at:at + step] @ right
+            tops += list(np.partition(dots, right.shape[1] - top, axis=1)[:, right.shape[1] - top:])
+        return pd.DataFrame({"_vector": rows["_vector"], "_top": tops})
+    return best
 
 
 def mean_top_similarity(rows: DataFrame, references: DataFrame, count: int, out: str, block: int = 256, spread: int = 64,
-                        broadcast_limit: int = BROADCAST_VECTORS) -> DataFrame:
+                        broadcast_limit: int = BROADCAST_VECTORS, part: int = PART_VECTORS, lane: int = LANE_ROWS) -> DataFrame:
     """Mean of the ``count`` highest dot products of each row with the reference vectors; 0 without references.
 
     The references are counted first. Up to ``broadcast_limit`` vectors travel to the rows as one matrix. Beyond that
-    they are packed into blocks of a fixed number of vectors; each row meets every block through an equi-join that is
-    spread over ``spread`` keys per block, keeps its best ``count`` values there, and the partial bests are merged. No
-    pair is ever written out.
+    equal vectors count once: of equal references at most ``count`` can matter, and equal rows have one result. The
+    references are cut into parts of ``part`` vectors (``block``, if that is more) and the rows into at least ``spread``
+    lanes of about ``lane``. Every part meets every lane in a task that multiplies them piece by piece and keeps each
+    row's best ``count`` values, and the partial bests are merged. No pair is ever written out.
     """
     total = references.count()
     if total <= broadcast_limit:
         matrix = matrix_of([row[0] for row in references.select("ref_vector").limit(broadcast_limit).collect()])
         return rows.withColumn(out, F.get(top_means(F.col("embedding"), [(matrix, count)]), F.lit(0)))
-    blocks = -(-total // block)
-    packed = references.groupBy(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int").alias("_block")).agg(
-        F.collect_list("ref_vector").alias("_refs")).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    slim = rows.select("id", "embedding").withColumn("_lane", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = slim.join(packed, ["_block", "_lane"]).select("id", F.slice(F.sort_array(
-        F.transform("_refs", lambda ref: dot(F.col("embedding"), ref)), asc=False), 1, count).alias("_top"))
-    merged = scored.groupBy("id").agg(F.flatten(F.collect_list("_top")).alias("_all")).select("id", mean_top(F.col("_all"), count).alias(out))
-    return rows.join(merged, "id", "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    distinct = references.where(F.col("ref_vector").isNotNull()).groupBy("ref_vector").agg(F.count("*").alias("_n"))
+    kept = cut_lineage(distinct.select("ref_vector", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(count)).cast("int"))).alias("_copy")))
+    vectors = cut_lineage(rows.where(F.col("embedding").isNotNull()).select("embedding").distinct().withColumn("_vector", F.monotonically_increasing_id()))
+    parts, lanes = max(1, -(-kept.count() // max(block, part))), max(spread, -(-vectors.count() // lane))
+    left = vectors.withColumn("_lane", F.pmod(F.xxhash64("_vector"), F.lit(lanes)).cast("bigint")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = kept.withColumn("_part", F.pmod(F.xxhash64("ref_vector", "_copy"), F.lit(parts)).cast("int")).withColumn(
+        "_lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
+    scored = left.groupBy("_part", "_lane").cogroup(right.select("_part", "_lane", "ref_vector").groupBy("_part", "_lane")).applyInPandas(
+        _best_products(count), "_vector bigint, _top array<double>")
+    merged = scored.groupBy("_vector").agg(F.flatten(F.collect_list("_top")).alias("_all")).select("_vector", mean_top(F.col("_all"), count).alias(out))
+    found = vectors.join(merged, "_vector").select("embedding", out)
+    return rows.join(found, "embedding", "left").select(*rows.columns, F.coalesce(out, F.lit(0.0)).alias(out))
 
 
 # ---- near-duplicate pairs ----------------------------------------------------------------------------------------

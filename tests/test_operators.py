@@ -243,3 +243,19 @@ def test_searches_leave_out_retired_rejected_and_foreign_segments(spark):
     assert [r["id"] for r in search.not_rejected(search.searchable(rows), reviews).collect()] == [1]
     with pytest.raises(ValueError, match="between 1 and 30"):
         search.checked_limit(31, search.LARGEST_PICKS)
+
+
+def test_mean_top_similarity_by_parts_and_lanes(spark):
+    import numpy as np
+
+    from cuewise.operators import similarity
+
+    rng = np.random.default_rng(4)
+    rows, refs = rng.normal(size=(30, 5)), rng.normal(size=(11, 5))
+    rows, refs = np.vstack([rows, rows[:7]]), np.vstack([refs, refs[:3], *[refs[:1]] * 12])  # copies on both sides
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)] + [(99, None)], "id long, embedding array<double>")
+    given = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(refs)], "ref_id long, ref_vector array<double>")
+    got = {r["id"]: r["s"] for r in similarity.mean_top_similarity(frame, given, 4, "s", block=2, spread=2, broadcast_limit=0, part=5, lane=9).collect()}
+    assert len(got) == 38 and got.pop(99) == 0.0
+    want = np.sort(rows @ refs.T, axis=1)[:, -4:].mean(axis=1)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in range(37))
