@@ -206,6 +206,39 @@ def test_viterbi_finds_the_best_path():
         assert tuple(secrets.viterbi(score, moves)) == max(value, key=value.get)
 
 
+def test_secret_field_looks_at_every_token():
+    rng = random.Random(5)
+    word = lambda size: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(size))
+    texts = [f"we met in the old garden of house {k} and the secret: {word(24)} was kept" for k in range(80)] + [f"plain words only and a short walk {k} home" for k in range(80)]
+    model = secrets.train(secrets.labelled_chains(texts))
+    key = word(24)
+    text = f"we met in the old garden and the secret; {key} was kept"
+    assert not secrets.pattern_spans(text) and (text.index(key), 3, text.index(key) + 24) in secrets.all_spans(text, model)[1]
+    assert secrets.field_spans("plain words only and a walk home", model) == []
+    short = secrets.Tokens(["a b1\né z=", "", "x"])
+    assert list(zip(short.text, short.start, short.end, short.run)) == [(0, 0, 1, True), (0, 2, 4, False), (0, 7, 9, True), (2, 0, 1, True)]
+
+
+def test_settled_tokens_do_not_change_the_best_path():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'x' * int(rng.integers(1, 9))}{int(k)}" for k in rng.integers(0, 99, 40)), "one", "", "a  b   c\n\n d=1"]
+    for scale in (0.2, 1.0, 3.0):
+        weights, moves = rng.normal(size=(secrets.BUCKETS, 3)) * scale, rng.normal(size=(3, 3)) * scale
+        weights[0, 0] = 6 * scale
+        want = []
+        for text in texts:
+            tokens, spans = secrets.Tokens([text]), []
+            begins = [*np.flatnonzero(tokens.run), len(tokens.run)]
+            for a, b in zip(begins, begins[1:]):
+                for k, tag in zip(range(a, b), secrets.viterbi(tokens.scores(weights)[a:b], moves)):
+                    if tag == 1:
+                        spans.append((tokens.start[k], tokens.end[k]))
+                    elif tag == 2:
+                        spans[-1] = (spans[-1][0], tokens.end[k])
+            want.append(spans)
+        assert secrets.field_spans_of(texts, (weights, moves)) == want
+
+
 def test_language_gradient_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     model = language.start(3, 4)
