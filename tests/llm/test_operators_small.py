@@ -108,6 +108,17 @@ def test_near_copies_by_shingle_similarity(spark, weight):
     assert nearcopies.first_rows(frame.where("false")).count() == 0
 
 
+def test_near_copies_meet_by_fingerprint(spark):
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base), " ".join(base + ["more"]), " ".join(f"v{k}" for k in range(300)), " ".join(base[:40] * 9), " ".join(base[:40] * 9 + ["end"])]
+    prints = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist()
+    # no two rows share a min-hash bucket
+    rows = [(k, len(nearcopies.shingles(t)), list(range(100 * k, 100 * k + nearcopies.BANDS)), k, f) for k, (t, f) in enumerate(zip(texts, prints))]
+    nodes = spark.createDataFrame(rows, "node long, size int, bands array<long>, key long, fp long")
+    found = nearcopies.links(nodes, spark.createDataFrame(list(enumerate(texts)), "key long, text string"))
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found.collect()} == {(0, 1), (3, 4)}
+
+
 def test_pipeline_finds_near_copies(spark):
     texts = []
     for group in range(8):
