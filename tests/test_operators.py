@@ -259,3 +259,17 @@ def test_mean_top_similarity_by_parts_and_lanes(spark):
     assert len(got) == 38 and got.pop(99) == 0.0
     want = np.sort(rows @ refs.T, axis=1)[:, -4:].mean(axis=1)
     assert all(abs(got[k] - want[k]) < 1e-12 for k in range(37))
+
+
+def test_accepted_matches_measure_words_once(spark):
+    rng = random.Random(8)
+    texts = ["", None, "ala ma kota", "ala ma psa", "Ála ma kota!", "kota ma ala i psa", "zupełnie coś innego"]
+    rows = [("v", k, 20.0 * (k // 3) + rng.randint(0, 5), rng.choice(texts)) for k in range(90)]
+    frames = [spark.createDataFrame([(v, k + shift, s + rng.choice([0.0, 0.5, 2.0]), s + rng.choice([9.0, 11.0]), t if rng.random() < 0.6 else rng.choice(texts)) for v, k, s, t in rows],
+                                    "video_id string, id long, start_seconds double, end_seconds double, transcript string") for shift in (0, 1000)]
+    shown = ["previous_id", "new_id", "token_jaccard", "sequence_similarity", "score", "confidence", "reason"]
+    accepted = history.accepted_matches(*frames)
+    want = history.candidate_matches(*frames).where("confidence IS NOT NULL").select(*shown)
+    assert sorted(accepted.select(*shown).collect()) == sorted(want.collect()) and 0 < accepted.where("sequence_similarity BETWEEN 0.01 AND 0.99").count()
+    # words are compared in one place of the work, not once for every rule that reads the result
+    assert accepted._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") <= 1
