@@ -273,3 +273,19 @@ def test_accepted_matches_measure_words_once(spark):
     assert sorted(accepted.select(*shown).collect()) == sorted(want.collect()) and 0 < accepted.where("sequence_similarity BETWEEN 0.01 AND 0.99").count()
     # words are compared in one place of the work, not once for every rule that reads the result
     assert accepted._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") <= 1
+
+
+def test_examples_are_picked_before_they_meet_texts(spark):
+    from cuewise.operators import feedback
+
+    segments = spark.createDataFrame([(k, None if k else 4, "v", float(k), k + 5.0, f"text {k}", [float(k)]) for k in range(4)],
+                                     "id long, revision_number int, video_id string, start_seconds double, end_seconds double, transcript string, embedding array<double>")
+    requests = spark.createDataFrame([(c, s, 100 * k + c) for k in range(5) for c, s in ((1, 0), (1, 1), (2, 1), (2, 9), (3, 3))], "collection_id long, segment_id long, created_at long")
+    kind = ("collection_id long, segment_id long, revision_number int, snapshot_video_id string, snapshot_start_seconds double, snapshot_end_seconds double, "
+            "snapshot_transcript string, snapshot_embedding array<double>, created_at long")
+    examples = spark.createDataFrame([(3, 3, 7, "old", 0.0, 1.0, "kept", [9.0], 5)], kind)
+    after = feedback.add_examples(examples, requests, segments)
+    rows = sorted((r["collection_id"], r["segment_id"], r["revision_number"], r["snapshot_transcript"], r["created_at"]) for r in after.collect())
+    assert rows == [(1, 0, 4, "text 0", 1), (1, 1, 1, "text 1", 1), (2, 1, 1, "text 1", 2), (3, 3, 7, "kept", 5)] and after.columns == examples.columns
+    grouped = [line for line in after._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [collection_id" in line]
+    assert grouped and not any("transcript" in line for line in grouped)
