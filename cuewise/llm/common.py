@@ -8,13 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.session import ensure_checkpoint_dir
-
-
-def bounded_batches(spark: SparkSession, size: str = "4m", rows: int = 2000) -> None:
-    """From now on rows of this session go to Python in batches of at most so many bytes and rows, and tasks hold no more at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+from cuewise.session import bounded_batches, ensure_checkpoint_dir  # noqa: F401  (for the modules of this package)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
