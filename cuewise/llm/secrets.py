@@ -165,7 +165,7 @@ def train(chains: list[tuple[list[list[int]], list[int]]], steps: int = 120, rat
         weights[:, 0] = 1.0
         return weights, moves
     longest, width = max(len(y) for _, y in chains), len(chains[0][0][0])
-    x = np.zeros((len(chains), longest, width), np.int64)
+    x = np.zeros((len(chains), longest, width), np.int16)  # feature numbers are below ``BUCKETS``
     y = np.zeros((len(chains), longest), np.int64)
     size = np.array([len(t) for _, t in chains])
     for k, (f, t) in enumerate(chains):
@@ -176,7 +176,7 @@ def train(chains: list[tuple[list[list[int]], list[int]]], steps: int = 120, rat
     kind = kind.reshape(len(chains), longest)
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
     for step in range(1, steps + 1):
-        score = weights[kinds].sum(axis=1)[kind]
+        score = sum(weights[kinds[:, k]] for k in range(width))[kind]
         score[:, 0, 2] -= 1e9
         move = moves + FORBIDDEN
         forward = np.zeros_like(score)
@@ -296,7 +296,8 @@ def all_spans(text: str, model: tuple[np.ndarray, np.ndarray] | None, found: lis
 
 
 def labelled_chains(texts: list[str], most: int = WINDOWS) -> list[tuple[np.ndarray, list[int]]]:
-    """Stretches of at most ``WIDTH`` tokens with their tags: those with a secret or a long token with a digit, and one more a text."""
+    """Stretches of at most ``WIDTH`` tokens with their tags: those with a secret or a long token with a digit, and one more a text.
+    Each has its rows for itself, as a view of them would keep those of its whole text in memory."""
     out = []
     for text in texts:
         tokens = Tokens([text])
@@ -308,10 +309,10 @@ def labelled_chains(texts: list[str], most: int = WINDOWS) -> list[tuple[np.ndar
             mark[np.searchsorted(b, x, "right"):np.searchsorted(a, y, "left")] = True
         begin = np.flatnonzero(tokens.run)
         cuts = np.concatenate([np.arange(x, y, WIDTH) for x, y in zip(begin, [*begin[1:], len(a)])])
-        rows, extra = np.stack(tokens.features, axis=1), int(cuts[len(text) % len(cuts)])
+        rows, extra = np.stack(tokens.features, axis=1).astype(np.int16), int(cuts[len(text) % len(cuts)])
         for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)]):
             if x == extra or mark[x:y].any() or tokens.long[x:y].any():
-                out.append((rows[x:y], [0 if not m else 2 if k and mark[x + k - 1] else 1 for k, m in enumerate(mark[x:y])]))
+                out.append((rows[x:y].copy(), [0 if not m else 2 if k and mark[x + k - 1] else 1 for k, m in enumerate(mark[x:y])]))
     return out if len(out) <= most else [out[k * len(out) // most] for k in range(most)]
 
 
