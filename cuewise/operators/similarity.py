@@ -35,24 +35,33 @@ def mean_top(similarities: Column, count: int) -> Column:
     return F.get(F.transform(F.array(best), mean), F.lit(0))
 
 
+PRODUCT_CELLS = 1 << 21
+
+
+def highest_products(rows: np.ndarray, matrix: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` highest dot products of every row with the rows of a matrix, in no order. About ``PRODUCT_CELLS``
+    products are held at once; the highest are copied out of them, as a slice would keep all the others alive."""
+    top = min(count, len(matrix))
+    best = np.empty((len(rows), top))
+    step = max(1, PRODUCT_CELLS // len(matrix))
+    for at in range(0, len(rows), step):
+        dots = rows[at:at + step] @ matrix.T
+        dots.partition(len(matrix) - top, axis=1)
+        best[at:at + step] = dots[:, len(matrix) - top:]
+    return best
+
+
 def top_means(embedding: Column, sets: list[tuple[np.ndarray, int]]) -> Column:
     """For every set of vectors the mean of the ``count`` highest dot products, as one array per row.
 
-    The sets travel in the function's closure, so callers pass only sets of a checked size. Whole batches are multiplied
-    at once, which is far cheaper than a fold per pair of vectors.
+    The sets travel in the function's closure, so callers pass only sets of a checked size. Rows are multiplied piece by
+    piece, which is far cheaper than a fold per pair of vectors.
     """
     @F.pandas_udf(ArrayType(DoubleType()))
     def means(vectors: pd.Series) -> pd.Series:
         rows = np.vstack(vectors.to_numpy()).astype("float64")
-        columns = []
-        for matrix, count in sets:
-            if len(matrix) == 0:
-                columns.append(np.zeros(len(rows)))
-                continue
-            top = min(count, len(matrix))
-            dots = rows @ matrix.T
-            columns.append(np.partition(dots, len(matrix) - top, axis=1)[:, len(matrix) - top:].mean(axis=1))
-        return pd.Series(list(np.column_stack(columns)))
+        return pd.Series(list(np.column_stack([
+            highest_products(rows, matrix, count).mean(axis=1) if len(matrix) else np.zeros(len(rows)) for matrix, count in sets])))
     return means(embedding)
 
 
@@ -61,20 +70,15 @@ def matrix_of(vectors: list) -> np.ndarray:
 
 
 BROADCAST_VECTORS = 4096
-PART_VECTORS, LANE_ROWS, PRODUCT_CELLS = 16384, 32768, 1 << 22
+PART_VECTORS, LANE_ROWS = 16384, 32768
 
 
 def _best_products(count: int):
     def best(rows: pd.DataFrame, references: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or references.empty:
             return pd.DataFrame({"_vector": pd.Series(dtype="int64"), "_top": pd.Series(dtype="object")})
-        left, right = np.vstack(rows["embedding"].to_numpy()), np.vstack(references["ref_vector"].to_numpy()).T
-        top, tops = min(count, right.shape[1]), []
-        step = max(1, PRODUCT_CELLS // right.shape[1])
-        for at in range(0, len(left), step):
-            dots = left[at:at + step] @ right
-            tops += list(np.partition(dots, right.shape[1] - top, axis=1)[:, right.shape[1] - top:])
-        return pd.DataFrame({"_vector": rows["_vector"], "_top": tops})
+        tops = highest_products(np.vstack(rows["embedding"].to_numpy()), np.vstack(references["ref_vector"].to_numpy()), count)
+        return pd.DataFrame({"_vector": rows["_vector"], "_top": list(tops)})
     return best
 
 
