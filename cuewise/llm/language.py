@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 WINDOW, HIDDEN = 128, 8
 PER_LANGUAGE, LANGUAGES, VIEWS, DRAWN = 500, 200, 6, 4
-CALIBRATION, LEAST_ROWS, DEVIATIONS, NEAR_CHANCE = 4000, 30, 6.0, 0.25
+LEAST_ROWS, SHORTEST, DEVIATIONS, NEAR_CHANCE = 30, 3, 6.0, 0.25
 UNKNOWN = "und"
 Model = dict
 
@@ -244,24 +244,46 @@ def length_class(text: Column) -> Column:
     return F.floor(F.log2(F.octet_length(text) + F.lit(1))).cast("int")
 
 
-def junk_bounds(docs: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang") -> dict[int, float]:
-    """For each class of text length (powers of two) the local probability that no clean text falls under: ``DEVIATIONS``
-    standard deviations under the mean of the labelled rows of that class, about ``CALIBRATION`` of which are drawn by a
-    hash, and at most ``NEAR_CHANCE`` of the way from chance to that mean, as texts that switch languages are a little less
-    sure. Classes of fewer than ``LEAST_ROWS`` such rows have no bound.
+def junk_bounds(found: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang", name: str = "found") -> dict[int, float]:
+    """For each class of text length (powers of two) that occurs the local probability that no clean text falls under:
+    ``DEVIATIONS`` standard deviations under the mean of all the labelled rows of that class, and at most ``NEAR_CHANCE`` of
+    the way from chance to that mean, as texts that switch languages are a little less sure.
+
+    ``found``: rows of ``predict`` with their text and label, materialised. A class of fewer than ``LEAST_ROWS`` labelled rows
+    takes the next shorter ones with it, which are less sure; one for which these do not suffice is measured by the
+    beginnings of all longer labelled texts, cut to its length. There is no bound where fewer than ``LEAST_ROWS`` texts are
+    left by then, and beginnings of under 7 bytes (classes before ``SHORTEST``), a part of a word, prove nothing.
 
     The pooled probability is no such measure: a clean text of several languages has a low one.
     """
-    text = F.col(text_column)
-    labelled = docs.where(F.col(lang_column).isNotNull() & text.isNotNull())
     if not model["names"]:
         return {}
-    many = max(1, labelled.count())
-    drawn = labelled.where(F.shiftrightunsigned(F.xxhash64(text, F.lit(CALIBRATION)), 11) < F.lit(int((1 << 53) * min(1.0, CALIBRATION / many))))
-    scored = predict(drawn.select(text.alias("text")), model, [length_class(F.col("text")).alias("size")], "text").where("found.has_letter")
-    rows = scored.groupBy("size").agg(F.avg("found.local").alias("mean"), F.stddev_samp("found.local").alias("dev"), F.count("*").alias("n")).collect()
+    local = F.col(f"{name}.local")
+    known = F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & F.col(f"{name}.has_letter")
+    sized = found.withColumn(name, F.struct(f"{name}.*", length_class(F.col(text_column)).alias("size")))
+    moments = [F.count(F.when(known, 1)).alias("n"), F.avg(F.when(known, local)).alias("mean"), F.var_pop(F.when(known, local)).alias("var")]
+    rows = {r["size"]: r for r in sized.where(f"`{name}`.has_letter").groupBy(F.col(f"{name}.size").alias("size")).agg(*moments).collect()}
+    pools = {size: pooled([rows[k] for k in sorted(rows, reverse=True) if k <= size]) for size in rows}
+    few = [size for size, (n, _, _) in pools.items() if n < LEAST_ROWS and size >= SHORTEST]
+    if few:
+        begin = F.explode(F.array(*[F.struct(F.lit(size).alias("size"), F.substring(text_column, 1, 2 ** size - 1).alias("text")) for size in sorted(few)]))
+        cut_down = sized.where(known).select(F.col(f"{name}.size").alias("of"), begin.alias("b")).where("of > b.size").select("b.*")
+        scored = predict(cut_down, model, ["size"]).where("found.has_letter")
+        more = scored.groupBy("size").agg(F.count("*").alias("n"), F.avg("found.local").alias("mean"), F.var_pop("found.local").alias("var")).collect()
+        pools |= {r["size"]: pooled([rows[k] for k in sorted(rows, reverse=True) if k <= r["size"]] + [r]) for r in more}
     chance = 1 / len(model["names"])
-    return {r["size"]: min(r["mean"] - DEVIATIONS * r["dev"], chance + NEAR_CHANCE * (r["mean"] - chance)) for r in rows if r["n"] >= LEAST_ROWS}
+    return {size: min(mean - DEVIATIONS * dev, chance + NEAR_CHANCE * (mean - chance)) for size, (n, mean, dev) in pools.items() if n >= LEAST_ROWS}
+
+
+def pooled(parts: list) -> tuple[int, float, float]:
+    """Number, mean and standard deviation of the values of the first parts (n, mean, var), as many as give ``LEAST_ROWS``."""
+    n, mean, squares = 0, 0.0, 0.0
+    for part in parts:
+        if part["n"] and n < LEAST_ROWS:
+            gap, both = part["mean"] - mean, n + part["n"]
+            squares += part["n"] * part["var"] + gap * gap * n * part["n"] / both
+            n, mean = both, mean + gap * part["n"] / both
+    return n, mean, (squares / max(1, n - 1)) ** 0.5
 
 
 def not_junk(bounds: dict[int, float], text_column: str = "text", name: str = "found") -> Column:
